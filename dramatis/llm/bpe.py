@@ -32,9 +32,10 @@ from dramatis.llm.common import ID, TEXT, table
 
 NO_RANK = 1 << 60
 #: Remembered pieces per worker, and the longest piece that is remembered.
-REMEMBERED, LONGEST = 600_000, 48
+REMEMBERED, LONGEST = 1_000_000, 48
 #: str.split() takes these four for white space; the tokenizer does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
+MARK_AFTER_LETTER = re.compile(r"([,.;:!?])(?<=[^\W\d_][,.;:!?])(?=\s)")
 
 
 def byte_letters() -> list[str]:
@@ -96,50 +97,70 @@ def merge_word(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]
 
 
 class PairTable:
-    """Merge rules as sorted arrays, for many words at a time."""
+    """Merge rules in a hash table of arrays, for many words at a time."""
 
     def __init__(self, ranks: dict[tuple[int, int], tuple[int, int]]):
-        rules = sorted((a << 32 | b, rank) for (a, b), (rank, _) in ranks.items())
-        self.keys = np.array([k for k, _ in rules], np.int64)
-        self.rank = np.array([r for _, r in rules], np.int64)
-        self.merged = np.zeros(len(rules) and int(self.rank.max()) + 1, np.int64)
-        for rank, symbol in ranks.values():
-            self.merged[rank] = symbol
+        self.size = 1 << (4 * len(ranks)).bit_length()
+        self.keys = np.full(self.size, -1, np.int64)
+        self.rank = np.zeros(self.size, np.int32)
+        self.merged = np.zeros(max((r for r, _ in ranks.values()), default=0) + 1, np.int32)
+        self.longest = 1
+        for (a, b), (rank, symbol) in ranks.items():
+            key = a << 20 | b
+            at = int(self.slot(np.array([key]))[0])
+            probes = 1
+            while self.keys[at] >= 0:
+                at = (at + 1) % self.size
+                probes += 1
+            self.keys[at], self.rank[at], self.merged[rank] = key, rank, symbol
+            self.longest = max(self.longest, probes)
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return (np.asarray(key) * np.int64(0x2545F4914F6CDD1D) >> np.int64(40)) & np.int64(self.size - 1)
 
     def leaf(self, left: np.ndarray, right: np.ndarray, position: np.ndarray) -> np.ndarray:
         """rank << 6 | position of each pair, or BATCH_NONE where there is no rule or no right symbol."""
-        wanted = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return np.where((self.keys[at] == wanted) & (right >= 0), self.rank[at] << 6 | position, BATCH_NONE)
-
-
-#: Above any leaf of a batch; and the most symbols of a word that goes into a batch.
-BATCH_NONE, BATCH_SYMBOLS = 1 << 40, 33
-
-
-def merge_words(words: list[list[int]], pairs: PairTable) -> list[list[int]]:
-    """``merge_word`` for many words of 2 to BATCH_SYMBOLS symbols: one segment tree a column, merged in step."""
-    longest = max(map(len, words))
-    size = 1 << max(0, (longest - 2).bit_length())
-    flat = np.full((size + 2, len(words)), -1, np.int64)
-    for k, word in enumerate(words):
-        flat[: len(word), k] = word
-    result, names = flat.copy(), np.arange(len(words))
-    tree = np.full((2 * size, len(words)), BATCH_NONE, np.int64)
-    for i in range(size):
-        tree[size + i] = pairs.leaf(flat[i], flat[i + 1], np.int64(i))
+        key = left.astype(np.int64) << 20 | right
+        at = self.slot(key)
+        out = np.full(len(key), BATCH_NONE, np.int32)
+        open_ = np.flatnonzero(right >= 0)
+        for _ in range(self.longest):
+            held = self.keys[at[open_]]
+            hit = held == key[open_]
+            found = open_[hit]
+            out[found] = self.rank[at[found]] << 6 | (position[found] if position.ndim else position)
+            open_ = open_[(held >= 0) & ~hit]
+            if not len(open_):
+                break
+            at[open_] = (at[open_] + 1) & (self.size - 1)
+        return out
+
+
+#: Above any leaf of a batch; the most symbols of a word that goes into a batch; and words of a batch, which fit the cache.
+BATCH_NONE, BATCH_SYMBOLS, BATCH_WORDS = 1 << 30, 33, 2048
+
+
+def merge_words(flat: np.ndarray, pairs: PairTable) -> np.ndarray:
+    """``merge_word`` for the columns of ``flat`` (symbols from the top, -1 below them): one segment tree a column, merged in step."""
+    n, words = flat.shape
+    size = 1 << max(0, (n - 2).bit_length())
+    # Row size + 1 is always empty; it stands for "no neighbour".
+    end = size + 1
+    flat = np.concatenate([flat, np.full((end + 1 - n, words), -1, np.int32)])
+    result, names = flat.copy(), np.arange(words)
+    tree = np.full((2 * size, words), BATCH_NONE, np.int32)
+    for i in range(n - 1):
+        tree[size + i] = pairs.leaf(flat[i], flat[i + 1], np.asarray(i))
     for i in range(size - 1, 0, -1):
         np.minimum(tree[2 * i], tree[2 * i + 1], out=tree[i])
-    # Row size + 1 of the symbols is always empty; it stands for "no neighbour".
-    end = size + 1
-    following = np.repeat(np.minimum(np.arange(1, size + 3), end)[:, None], len(words), 1)
-    before = np.repeat(np.where(np.arange(size + 2) > 0, np.arange(-1, size + 1), end)[:, None], len(words), 1)
+    following = np.repeat(np.minimum(np.arange(1, size + 3), end)[:, None], words, 1)
+    before = np.repeat(np.where(np.arange(size + 2) > 0, np.arange(-1, size + 1), end)[:, None], words, 1)
     while True:
         live = np.flatnonzero(tree[1] < BATCH_NONE)
         if len(live) < len(names):
             result[:, names] = flat
             if not len(live):
-                break
+                return result
             names = names[live]
             flat, tree, following, before = (x[:, live] for x in (flat, tree, following, before))
         column = np.arange(len(names))
@@ -152,7 +173,7 @@ def merge_words(words: list[list[int]], pairs: PairTable) -> list[list[int]]:
         before[end] = end
         flat[end] = -1
         leaves = [
-            (j, np.full(len(names), BATCH_NONE)),
+            (j, np.full(len(names), BATCH_NONE, np.int32)),
             (i, pairs.leaf(merged, flat[after, column], i)),
             (previous, np.where(previous == end, BATCH_NONE, pairs.leaf(np.maximum(flat[previous, column], 0), merged, previous))),
         ]
@@ -164,7 +185,6 @@ def merge_words(words: list[list[int]], pairs: PairTable) -> list[list[int]]:
                 least = np.minimum(tree[rows, columns], tree[rows ^ 1, columns])
                 rows >>= 1
                 tree[rows, columns] = least
-    return [[s for s in word if s >= 0] for word in result.T.tolist()]
 
 
 class WordBpe:
@@ -184,6 +204,7 @@ class WordBpe:
         self.letters = byte_letters()
         self.ended = [self.vocab[x + self.suffix] for x in self.letters]
         self.inner = [self.vocab[x] for x in self.letters]
+        self.ended_of, self.inner_of = np.array(self.ended), np.array(self.inner)
         self.tokens = {v: k for k, v in self.vocab.items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.tokens |= {v: k for k, v in self.special.items()}
@@ -199,35 +220,42 @@ class WordBpe:
         symbols[-1] = self.ended[letters[-1]]
         return merge_word(symbols, self.ranks)
 
-    def words_ids(self, words: list[str]) -> list[list[int]]:
-        """Ids of many normalised words."""
-        made: list[list[int]] = []
-        for word in words:
-            letters = word.encode("utf-8")
-            made.append([self.inner[b] for b in letters])
-            made[-1][-1] = self.ended[letters[-1]]
-        by_size: dict[int, list[int]] = {}
-        for k, symbols in enumerate(made):
-            by_size.setdefault((max(2, len(symbols)) - 2).bit_length(), []).append(k)
-        for size, names in by_size.items():
-            if len(names) < 16 or size > (BATCH_SYMBOLS - 2).bit_length():
-                for k in names:
-                    made[k] = merge_word(made[k], self.ranks)
-            else:
-                for k, ids in zip(names, merge_words([made[k] for k in names], self.pairs), strict=True):
-                    made[k] = ids
-        return made
+    def words_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of many normalised words, each as little-endian unsigned 32-bit numbers."""
+        encoded = [w.encode("utf-8") for w in words]
+        data = np.frombuffer(b"".join(encoded), np.uint8)
+        size = np.fromiter(map(len, encoded), np.int64, len(words))
+        start = np.cumsum(size) - size
+        out: list[bytes] = [b""] * len(words)
+        order = np.argsort(size, kind="stable")
+        few = order[size[order] <= BATCH_SYMBOLS]
+        for at in range(0, len(few), BATCH_WORDS):
+            some = few[at : at + BATCH_WORDS]
+            row, n = np.arange(int(size[some[-1]]))[:, None], size[some]
+            letters = data[np.minimum(start[some] + row, len(data) - 1)]
+            flat = np.where(row < n - 1, self.inner_of[letters], np.where(row == n - 1, self.ended_of[letters], -1)).astype(np.int32)
+            if len(row) > 1:
+                flat = merge_words(flat, self.pairs)
+            held = flat.T >= 0
+            ids, stops = flat.T[held].astype("<u4").tobytes(), (4 * np.cumsum(held.sum(1))).tolist()
+            for k, a, b in zip(some.tolist(), [0, *stops[:-1]], stops, strict=True):
+                out[k] = ids[a:b]
+        for k in order[len(few) :].tolist():
+            out[k] = array("I", self.word_ids(words[k])).tobytes()
+        return out
+
+    def lowered(self, text: str) -> str:
+        """Normalised but for white space."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+            if "Σ" in text:
+                # Letter by letter: str.lower() of a whole string looks at the context of a final sigma.
+                return "".join(map(str.lower, text))
+        return text.lower()
 
     def words(self, piece: str) -> list[str]:
-        """Normalised words of a piece of text without white space or special tokens."""
-        if piece.isascii():
-            piece = piece.lower()
-            if piece.isalpha():
-                return [piece]
-        else:
-            # Letter by letter: str.lower() of a whole string looks at the context of a final sigma.
-            piece = "".join(map(str.lower, unicodedata.normalize("NFC", piece)))
-        return self.word.findall(piece)
+        """Words of a normalised piece of text without white space or special tokens."""
+        return [piece] if piece.isalpha() else self.word.findall(piece)
 
     def pieces(self, text: str) -> Iterator[tuple[str | None, int]]:
         """(text between special tokens, 0) and (None, id of a special token), in order."""
@@ -239,6 +267,8 @@ class WordBpe:
         yield text[at:], 0
 
     def split(self, text: str) -> list[str]:
+        """Normalised pieces without white space. A single mark at the end of a word is a word, and a piece, of its own."""
+        text = MARK_AFTER_LETTER.sub(r" \1", self.lowered(text))
         return text.split() if not SEPARATORS.search(text) else [x for x in self.space.split(text) if x]
 
     def encode(self, text: str) -> list[int]:
@@ -267,34 +297,39 @@ class Renderer:
     ``render`` makes bytes of the ids of a word; ``joint`` stands between words.
     """
 
-    def __init__(self, bpe: WordBpe, render: Callable[[list[int]], bytes], joint: bytes = b""):
+    def __init__(self, bpe: WordBpe, render: Callable[[bytes], bytes] | None = None, joint: bytes = b""):
         self.bpe, self.render, self.joint = bpe, render, joint
-        self.of_word: dict[str, bytes] = {}
-        self.of_piece: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def learn(self, pieces: set[str]) -> None:
         """Remember the values of pieces that are not known yet."""
-        if len(self.of_word) >= REMEMBERED:
-            self.of_word.clear()
-        split = {piece: self.bpe.words(piece) for piece in pieces}
-        new = [*{word for words in split.values() for word in words}.difference(self.of_word)]
-        self.of_word.update(zip(new, map(self.render, self.bpe.words_ids(new)), strict=True))
-        for piece, words in split.items():
-            self.of_piece[piece] = self.joint.join([self.of_word[w] for w in words])
+        odd = {piece: self.bpe.word.findall(piece) for piece in pieces if not piece.isalpha()}
+        new = [*{w for words in odd.values() for w in words}.union(pieces.difference(odd)).difference(self.known)]
+        ids = self.bpe.words_ids(new)
+        self.known.update(zip(new, map(self.render, ids) if self.render else ids, strict=True))
+        # A word that is a piece as well has been learnt by now, with the same value.
+        self.known.update({piece: self.joint.join([self.known[w] for w in words]) for piece, words in odd.items()})
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Values of a block of whole texts. What is new to it is encoded at once; then all is looked up."""
         parts = [[(special, None if part is None else self.bpe.split(part)) for part, special in self.bpe.pieces(t)] for t in texts]
-        known = self.of_piece
+        known = self.known
         if len(known) >= REMEMBERED:
             known.clear()
         unknown = set().union(*(pieces for text in parts for _, pieces in text if pieces)).difference(known)
         self.learn(unknown)
-        values = [[x for special, pieces in text for x in (map(known.__getitem__, pieces) if pieces is not None else [self.render([special])])] for text in parts]
+        get = known.__getitem__
+        # Without a joint, pieces that hold no word are no matter.
+        glued = (lambda pieces: b"".join(map(get, pieces))) if not self.joint else (lambda pieces: self.joint.join(filter(None, map(get, pieces))))
+        out = [[self.special(special) if pieces is None else glued(pieces) for special, pieces in text] for text in parts]
         for piece in unknown:
             if len(piece) > LONGEST:
                 del known[piece]
-        return [self.joint.join(filter(None, x) if self.joint else x) for x in values]
+        return [x[0] if len(x) == 1 else self.joint.join(filter(None, x)) for x in out]
+
+    def special(self, token: int) -> bytes:
+        ids = array("I", [token]).tobytes()
+        return self.render(ids) if self.render else ids
 
 
 _renderers: dict[tuple[str, str], Renderer] = {}
@@ -305,8 +340,8 @@ def renderer(path: str, kind: str) -> Renderer:
     if (path, kind) not in _renderers:
         bpe = tokenizer(path)
         of = {
-            "bytes": lambda: Renderer(bpe, lambda ids: array("I", ids).tobytes()),
-            "both": lambda: Renderer(bpe, lambda ids: "\n".join([f"{i}\n{bpe.decode([i])}" for i in ids]).encode(), b"\n"),
+            "bytes": lambda: Renderer(bpe),
+            "both": lambda: Renderer(bpe, lambda ids: "\n".join([f"{i}\n{bpe.tokens[i]}" for i in array("I", ids)]).encode(), b"\n"),
         }
         _renderers[path, kind] = of[kind]()
     return _renderers[path, kind]
