@@ -5,7 +5,457 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dramatis.functions import company, names, text
+from dramatis.functions import positions as P
+from dramatis.functions import urls as U
+from dramatis.functions.morph import lemma_table
+from dramatis.operators import contacts as people
+from dramatis.operators import dedup as D
+from dramatis.operators import frontier as fr
+from dramatis.operators import resolve, sites
+from dramatis.plans import derived, reports
+from dramatis.sources import catalog, html, store, uploads
 
 FLAGSHIP = "frontier_topk"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLE[name] = oracle
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def parsed(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", "url", *columns, html.parse_page(F.col("html")).alias("page"))
+
+
+# Pieces of SQL for DuckDB.
+def uniq(array: str) -> str:
+    """Distinct elements in the order of their first appearance."""
+    return f"list_filter({array}, lambda x, i: list_position({array}, x) = i)"
+
+
+def lit(values) -> str:
+    return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
+
+
+def emails_of(column: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all({column}, '{text.EMAIL}'), lambda e: lower(e)), lambda e: NOT regexp_matches(e, '{text.EMAIL_ASSETS}'))"
+
+
+GENERAL = f"split_part(e, '@', 1) IN ({lit(text.GENERAL_LOCALS)})"
+HOST = "lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1))"
+SPACE = "[ \\t\\n\\r\\f\\v]"
+
+
+# Emails, phones, identifiers.
+@query("email_extract", f"WITH e AS (SELECT doc_id, {emails_of('text')} AS l FROM documents) SELECT doc_id, array_to_string({uniq('l')}, ',') AS emails FROM e")
+def _(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.joined(text.extract_emails(F.col("text"))).alias("emails"))
+
+
+@query("email_split", f"WITH e AS (SELECT doc_id, {emails_of('text')} AS l FROM documents), u AS (SELECT doc_id, {uniq('l')} AS l FROM e) SELECT doc_id, array_to_string(list_filter(l, lambda e: {GENERAL}), ',') AS general, array_to_string(list_filter(l, lambda e: NOT {GENERAL}), ',') AS personal FROM u")
+def _(spark, d):
+    found = read(spark, d, "documents").select("doc_id", text.extract_emails(F.col("text")).alias("e"))
+    return found.select("doc_id", text.joined(text.general_emails(F.col("e"))).alias("general"), text.joined(text.personal_emails(F.col("e"))).alias("personal"))
+
+
+@query("email_choose", f"WITH e AS (SELECT doc_id, {emails_of('text')} AS l FROM documents), u AS (SELECT doc_id, l, list_filter(l, lambda e: {GENERAL}) AS g, list_filter(l, lambda e: NOT {GENERAL}) AS p FROM e) SELECT doc_id, coalesce(p[1], l[1], '') AS person_email, coalesce(g[1], l[1], '') AS company_email FROM u")
+def _(spark, d):
+    found = read(spark, d, "documents").select("doc_id", text.extract_emails(F.col("text")).alias("e"))
+    return found.select("doc_id", text.person_email(F.col("e")).alias("person_email"), text.company_email(F.col("e")).alias("company_email"))
+
+
+@query("email_classify", f"WITH e AS (SELECT ord, person_email AS e, company_email FROM ({derived.CONTACTS})) SELECT ord, CASE WHEN contains(e, '@') AND {GENERAL} THEN 'general' ELSE 'personal' END AS person_class, CASE WHEN contains(company_email, '@') AND {GENERAL.replace('(e,', '(company_email,')} THEN 'general' ELSE 'personal' END AS company_class FROM e")
+def _(spark, d):
+    return derived.contacts(spark, d).select("ord", text.classify_email(F.col("person_email")).alias("person_class"), text.classify_email(F.col("company_email")).alias("company_class"))
+
+
+PHONE = text.PHONE_RU.removeprefix("(?U)")
+
+
+@query("phone_extract", rf"WITH p AS (SELECT doc_id, list_transform(list_filter(list_transform(regexp_extract_all(text, '{PHONE}'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: len(x) = 11), lambda x: '+7 (' || x[2:4] || ') ' || x[5:7] || '-' || x[8:9] || '-' || x[10:11]) AS l FROM documents) SELECT doc_id, array_to_string({uniq('l')}, ',') AS phones FROM p")
+def _(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.joined(text.extract_phones(F.col("text"))).alias("phones"))
+
+
+def _re2(pattern: str) -> str:
+    return pattern.replace("(?iU)", "(?i)").replace("(?U)", "").replace(r"\xa0", r"\x{a0}")
+
+
+@query("inn_extract", f"WITH p AS (SELECT doc_id, list_filter(list_concat(list_concat(regexp_extract_all(text, '{_re2(text.INN_RU)}', 1), regexp_extract_all(text, '{_re2(text.INN_EN)}', 1)), regexp_extract_all(text, '{_re2(text.INN_PAIR)}', 1)), lambda x: len(x) IN (10, 12)) AS l FROM documents) SELECT doc_id, array_to_string({uniq('l')}, ',') AS inn FROM p")
+def _(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.joined(text.extract_inn(F.col("text"))).alias("inn"))
+
+
+@query("kpp_extract", f"WITH p AS (SELECT doc_id, regexp_extract_all(text, '{_re2(text.KPP)}', 1) AS l FROM documents) SELECT doc_id, array_to_string({uniq('l')}, ',') AS kpp FROM p")
+def _(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.joined(text.extract_kpp(F.col("text"))).alias("kpp"))
+
+
+# Pages and URLs.
+@query("page_title_lang", "SELECT page_id, replace(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '&amp;', '&') AS title, lower(left(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), 2)) AS lang FROM pages")
+def _(spark, d):
+    return parsed(spark, d).select("page_id", F.col("page.title").alias("title"), company.language(F.col("page.lang")).alias("lang"))
+
+
+@query("company_name_candidate", "WITH t AS (SELECT page_id, replace(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '&amp;', '&') AS t FROM pages), x AS (SELECT page_id, trim(split_part(t, ' | ', 1)) AS t FROM t), c AS (SELECT page_id, CASE WHEN length(t) > 120 THEN regexp_replace(left(t, 120), ' [^ ]*$', '') ELSE t END AS t FROM x) SELECT page_id, CASE WHEN length(t) < 3 THEN '' ELSE upper(t[1:1]) || t[2:] END AS company_name FROM c")
+def _(spark, d):
+    return parsed(spark, d).select("page_id", sites.page_company(F.col("page"))["company_name"].alias("company_name"))
+
+
+FOOTER = "regexp_replace(regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1), '<[^>]*>', ' ', 'g')"
+
+
+@query("footer_scope_email", f"WITH f AS (SELECT page_id, {FOOTER} AS s FROM pages), e AS (SELECT page_id, {emails_of('s')} AS l FROM f) SELECT page_id, coalesce(list_filter(l, lambda e: {GENERAL})[1], l[1], '') AS company_email FROM e")
+def _(spark, d):
+    return parsed(spark, d).select("page_id", sites.page_company(F.col("page"))["company_email"].alias("company_email"))
+
+
+@query("spa_predicate", "WITH l AS (SELECT page_id, html, lower(html) AS low FROM pages) SELECT page_id, html IS NULL OR length(html) < 2000 OR (contains(low, 'id=\"root\"') AND length(low) < 8000) OR (contains(low, 'reactdom') AND contains(low, '<body') AND length(low) - instr(low, '<body') - 4 < 3000) AS is_spa FROM l")
+def _(spark, d):
+    return read(spark, d, "pages").select("page_id", U.is_spa(F.col("html")).alias("is_spa"))
+
+
+@query("fetch_choice", "SELECT page_id, CASE WHEN length(html) < 2000 AND page_id % 2 = 0 THEN 'browser' ELSE 'plain' END AS source FROM pages")
+def _(spark, d):
+    pages = read(spark, d, "pages").withColumn("other", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("browser"), F.col("html"))))
+    return pages.select("page_id", F.when(U.fetched(F.col("html"), F.col("other")).startswith("browser"), "browser").otherwise("plain").alias("source"))
+
+
+@query("domain_compat", f"SELECT page_id, ltrim({HOST}, 'w.') AS domain FROM pages")
+def _(spark, d):
+    return read(spark, d, "pages").select("page_id", U.domain(F.col("url")).alias("domain"))
+
+
+@query("domain_host", f"SELECT page_id, regexp_replace({HOST}, '^www\\.', '') AS host FROM pages")
+def _(spark, d):
+    return read(spark, d, "pages").select("page_id", U.host(F.col("url")).alias("host"))
+
+
+@query("url_scheme", "SELECT page_id, CASE WHEN regexp_matches(u, '^https?://') THEN u ELSE 'https://' || trim(u) END AS url FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE split_part(url, '://', 2) END AS u FROM pages)")
+def _(spark, d):
+    cut = read(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.split_part("url", F.lit("://"), F.lit(2))).alias("u"))
+    return cut.select("page_id", U.with_scheme(F.col("u")).alias("url"))
+
+
+LINKS = r"""WITH a AS (SELECT page_id, url AS base_url, unnest(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>[^<]*</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*"[^>]*>([^<]*)</a>', 1)) AS anchor FROM pages)"""
+ABSOLUTE = "CASE WHEN regexp_matches(href, '^[a-z]+:') THEN href ELSE regexp_extract(base_url, '^[a-z]+://[^/?#]*') || regexp_replace(href, '#.*$', '') END"
+SCORE = " + ".join(f"CASE WHEN regexp_matches(lower(link), '{stems}') THEN {points} ELSE 0 END" for points, stems in U.SCORES.items())
+SCORED = rf"""{LINKS}, k AS (SELECT DISTINCT page_id, base_url, {ABSOLUTE} AS link FROM a WHERE href <> '' AND NOT regexp_matches(href, '{U.SKIPPED_LINKS}') AND regexp_matches(anchor || ' ' || href, '(?i)({U.KEYWORDS})')),
+s AS (SELECT page_id, base_url, link, CAST({SCORE} AS INTEGER) AS score FROM k WHERE regexp_replace({HOST.replace("url", "link")}, '^www\.', '') = regexp_replace({HOST.replace("url", "base_url")}, '^www\.', ''))"""
+
+
+@query("links_explode", f"{LINKS} SELECT page_id, href, trim(anchor) AS anchor FROM a")
+def _(spark, d):
+    return parsed(spark, d).select("page_id", F.explode(F.arrays_zip(F.col("page.hrefs").alias("href"), F.col("page.anchors").alias("anchor"))).alias("a")).select("page_id", "a.*")
+
+
+@query("links_scored", f"{SCORED} SELECT page_id, base_url, link, score FROM s")
+def _(spark, d):
+    return fr.page_links(parsed(spark, d))
+
+
+@query("frontier_topk", f"{SCORED}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, link) AS INTEGER) AS rank FROM s) SELECT page_id, base_url, link, score, rank FROM r WHERE rank <= 14")
+def _(spark, d):
+    return fr.ranked_links(fr.page_links(parsed(spark, d)), limit=fr.DEPTH["all_contacts"] - 1)
+
+
+@query("guess_urls", f"SELECT page_id, url AS base_url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') || p.path AS link, CAST(p.pos AS INTEGER) AS rank FROM pages, (SELECT unnest([{lit(U.GUESSED_PATHS)}]) AS path, unnest(range(1, {len(U.GUESSED_PATHS) + 1})) AS pos) p")
+def _(spark, d):
+    return fr.guessed(read(spark, d, "pages"))
+
+
+@query("frontier_pages", f"""{SCORED}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, link) AS INTEGER) AS rank FROM s), near AS (SELECT * FROM r WHERE rank <= 5 AND link <> base_url),
+g AS (SELECT page_id, url, unnest([{lit(U.GUESSED_PATHS[:5])}]) AS path, unnest(range(1, 6)) AS pos FROM pages WHERE page_id NOT IN (SELECT page_id FROM near))
+SELECT page_id, CAST(0 AS INTEGER) AS page_ord, url AS page_url FROM pages UNION ALL SELECT page_id, rank, link FROM near UNION ALL SELECT page_id, CAST(pos AS INTEGER), regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') || path FROM g""")
+def _(spark, d):
+    return fr.frontier(parsed(spark, d), "fast_start")
+
+
+# Lines and look-ahead; a title is a line that begins with a vowel here, since the tables hold none.
+@query("visible_lines", "WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents) SELECT doc_id, CAST(len(l) AS INTEGER) AS n_lines, coalesce(l[1], '') AS first_line, coalesce(l[-1], '') AS last_line FROM l")
+def _(spark, d):
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = read(spark, d, "documents").select("doc_id", lines.alias("l"))
+    return rows.select("doc_id", F.size("l").alias("n_lines"), F.coalesce(F.get("l", F.lit(0)), F.lit("")).alias("first_line"), F.coalesce(F.get("l", F.size("l") - 1), F.lit("")).alias("last_line"))
+
+
+# Conversations as lines: in each, a title at turn 0 of three and a name at turn 2 of three.
+@query("line_lookahead", """WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 1 END AS title, CASE WHEN turn % 4 = 2 THEN 1 END AS name FROM conversations),
+w AS (SELECT conv_id, turn, title, max(turn) OVER (PARTITION BY conv_id) AS last FROM t)
+SELECT conv_id, CAST(count(*) AS INTEGER) AS n_contacts FROM w WHERE title = 1 AND turn + 2 <= last GROUP BY conv_id""")
+def _(spark, d):
+    line = F.when(F.col("turn") % 4 == 0, "Главный инженер").when(F.col("turn") % 4 == 2, "Иванов Иван").otherwise("---")
+    rows = read(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]).alias("lines"))
+    return rows.select("conv_id", F.size(people.from_lines(F.col("lines"))).alias("n_contacts")).where("n_contacts > 0")
+
+
+# Names.
+CANDIDATE = names.CANDIDATE.removeprefix("(?U)")
+
+
+@query("name_candidates", f"SELECT doc_id, array_to_string(regexp_extract_all(text, '{CANDIDATE}'), ',') AS candidates FROM documents")
+def _(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.joined(names.candidates(F.col("text"))).alias("candidates"))
+
+
+#: What the rules of name splitting give for the inline names, worked out by hand: last, first, patronymic, gender, valid.
+NAMED = {
+    "Иванов Иван Иванович": ("Иванов", "Иван", "Иванович", "М", True), "Анна Петрова": ("Анна", "Петрова", "", "Ж", True), "Сидоров П.П.": ("Сидоров", "П.п", "", "?", True), "Our Team": ("", "", "", "?", False),
+    "": ("", "", "", "?", False), "Олег Петрович Кузнецов": ("Кузнецов", "Олег", "Петрович", "М", True), "Смирнова Мария Ивановна": ("Смирнова", "Мария", "Ивановна", "Ж", True), "Page Down": ("", "", "", "?", False),
+    "Орлов": ("", "", "", "?", False), "белый никита": ("Белый", "Никита", "", "?", True), "А.Б. Седов": ("Седов", "А.б.", "", "?", True), "Главный Инженер": ("", "", "", "?", False),
+    "Римский-Корсаков Лев": ("Лев", "Римский-Корсаков", "", "?", True), "Anna Smith": ("Anna", "Smith", "", "?", True), "Иванова Ольга (отпуск)": ("Иванова", "Ольга", "", "Ж", True), "Один Два Три Четыре": ("", "", "", "?", False), "Read more": ("", "", "", "?", False),
+}
+NAME_ROWS = ", ".join("(" + lit([k, *v[:4]]) + f", {v[4]})" for k, v in NAMED.items())
+
+
+@query("name_split", f"SELECT ord, last_name, first_name, patronymic, gender, valid FROM ({derived.CONTACTS.replace('AS first_name', 'AS f1').replace('AS last_name', 'AS l1').replace('AS patronymic', 'AS p1')}) JOIN (VALUES {NAME_ROWS}) n(full_name, last_name, first_name, patronymic, gender, valid) USING (full_name)")
+def _(spark, d):
+    rows = derived.contacts(spark, d).select("ord", names.normalised(F.col("full_name")).alias("n"), names.is_valid(F.col("full_name")).alias("valid"))
+    return rows.select("ord", *[F.col(f"n.{c}").alias(c) for c in ("last_name", "first_name", "patronymic", "gender")], "valid")
+
+
+@query("name_ending", f"SELECT ord, CASE WHEN length(l) >= 3 THEN right(l, 3) WHEN length(l) = 2 THEN l ELSE '' END AS ending, CASE WHEN f <> '' AND p <> '' THEN f[1:1] || '.' || p[1:1] || '.' WHEN f <> '' THEN f[1:1] || '.' ELSE '' END AS initials FROM ({derived.CONTACTS}) JOIN (VALUES {NAME_ROWS}) n(full_name, l, f, p, g, v) USING (full_name)")
+def _(spark, d):
+    n = names.normalised(F.col("full_name"))
+    return derived.contacts(spark, d).select("ord", n["ending"].alias("ending"), n["initials"].alias("initials"))
+
+
+# Titles against the catalog.
+CATALOG = "catalog AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({p.ord}, '{p.id}', '{p.canonical}', [{lit(p.aliases)}], [{lit(p.keywords)}], '{p.category}', {lit([p.sheet]) if p.sheet else 'NULL'}, {p.priority}, "
+    f"'{'|'.join(m.replace('.', chr(92) + '.') for m in p.exclude_modifiers)}', [{lit(p.requires_any)}]::VARCHAR[]) " for p in catalog.positions()
+) + ") c(ord, id, canonical, aliases, keywords, category, sheet, priority, excluded, required))"
+LETTERS = "0-9A-Za-zА-Яа-яЁё_"
+EDGE = P.EDGE.replace("\t", "").replace("\n", "").replace("\r", "")
+CLEANED = f"""titles AS (SELECT ord AS row_ord, position_raw, trim(regexp_replace(regexp_replace(regexp_replace(trim(position_raw, '{EDGE}'), '(?s)[.!?;]\\s+[А-ЯA-Z].*$', ''), '\\s*[—–-]\\s+[а-яa-z]', '', 'g'), '\\s+', ' ', 'g'), '{EDGE}') AS cleaned, full_name FROM ({derived.CONTACTS}))"""
+LEMMAS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in lemma_table().items()) + "}"
+HAS = "(list_contains(lemmas, {k}) OR len(list_filter(lemmas, lambda l: len(l) >= 4 AND len({k}) >= 4 AND (starts_with(l, {k}) OR starts_with({k}, l)))) > 0)"
+REQUIRED = f"(len(required) = 0 OR len(list_filter(required, lambda t: {HAS.format(k='t')} OR regexp_matches(low, '(^|[^{LETTERS}])' || t))) > 0)"
+RESOLVED = f"""{CATALOG}, {CLEANED},
+known AS (SELECT *, lower(cleaned) AS low, list_distinct(list_transform(regexp_extract_all(lower(cleaned), '[A-Za-zА-Яа-яЁё]+'), lambda w: coalesce(({LEMMAS})[w], w))) AS lemmas FROM (SELECT DISTINCT cleaned FROM titles)),
+exact AS (SELECT cleaned, min(ord) AS ord FROM known, catalog WHERE low = lower(canonical) OR list_contains(aliases, low) GROUP BY cleaned),
+morph AS (SELECT cleaned, arg_max(ord, priority * 1000000 + len(array_to_string(keywords, ' ')) * 1000 - ord) AS ord FROM known, catalog WHERE cleaned <> '' AND len(list_filter(keywords, lambda k: NOT {HAS.format(k="k")})) = 0 AND {REQUIRED} GROUP BY cleaned),
+best AS (SELECT k.cleaned, k.low, k.lemmas, e.ord AS exact, CASE WHEN e.ord IS NULL THEN m.ord END AS morph FROM known k LEFT JOIN exact e USING (cleaned) LEFT JOIN morph m USING (cleaned)),
+resolved AS (SELECT b.cleaned, b.exact, b.morph, c.id AS matched_id, coalesce(c.category, 'Другое') AS category, c.canonical, CASE WHEN c.sheet IS NOT NULL AND NOT regexp_matches(low, '(^|[^{LETTERS}])(' || excluded || ')') AND {REQUIRED} THEN c.sheet END AS sheet,
+  CASE WHEN b.cleaned = '' THEN 'empty' WHEN exact IS NOT NULL THEN 'exact' WHEN morph IS NOT NULL THEN 'morph' ELSE 'fallback' END AS method FROM best b LEFT JOIN catalog c ON c.ord = coalesce(exact, morph))"""
+
+
+@query("position_clean", f"WITH {CLEANED} SELECT row_ord AS ord, cleaned FROM titles")
+def _(spark, d):
+    return derived.contacts(spark, d).select("ord", P.clean(F.col("position_raw")).alias("cleaned"))
+
+
+@query("position_exact", f"WITH {RESOLVED} SELECT row_ord AS ord, matched_id FROM titles JOIN resolved USING (cleaned) WHERE method = 'exact'")
+def _(spark, d):
+    rows = derived.contacts(spark, d).withColumn("hit", P.exact_match(F.lower(P.clean(F.col("position_raw"))))).where("hit is not null")
+    return rows.select("ord", P.field(F.col("hit"), lambda p: p.id).alias("matched_id"))
+
+
+@query("position_morph", f"WITH {RESOLVED} SELECT row_ord AS ord, id AS matched_id FROM titles JOIN morph USING (cleaned) JOIN catalog c ON c.ord = morph.ord")
+def _(spark, d):
+    known = derived.contacts(spark, d).select("ord", P.clean(F.col("position_raw")).alias("c")).where("c <> ''").select("ord", F.lower("c").alias("low"), P.lemmas(F.col("c")).alias("found"))
+    rows = known.withColumn("hit", P.morph_match(F.col("low"), F.col("found"))).where("hit is not null")
+    return rows.select("ord", P.field(F.col("hit"), lambda p: p.id).alias("matched_id"))
+
+
+@query("position_cascade", f"WITH {RESOLVED} SELECT row_ord AS ord, method, matched_id, category FROM titles JOIN resolved USING (cleaned)")
+def _(spark, d):
+    rows = resolve.with_positions(derived.contacts(spark, d).select("ord", "position_raw"), fuzzy=False)
+    return rows.select("ord", "method", "matched_id", "category")
+
+
+@query("position_fuzzy")
+def _(spark, d):
+    misspelt = derived.contacts(spark, d).select("ord", F.concat(F.lit("г-н "), F.col("position_raw")).alias("position_raw"))
+    return resolve.with_positions(misspelt).select("ord", "position_raw", "canonical", "method", "matched_id", "sheet")
+
+
+@query("route_sheet", f"WITH {RESOLVED} SELECT row_ord AS ord, CASE WHEN trim(full_name) <> '' AND sheet IN ({lit(catalog.ROLE_SHEETS)}) THEN sheet ELSE 'Остальные' END AS sheet_name FROM titles JOIN resolved USING (cleaned)")
+def _(spark, d):
+    rows = resolve.with_positions(derived.contacts(spark, d).select("ord", "position_raw", "full_name"), fuzzy=False)
+    return rows.select("ord", P.route(F.col("sheet"), F.col("full_name")).alias("sheet_name"))
+
+
+@query("position_tail", f"SELECT ord, trim(regexp_extract(position_raw, '(?i)(?:^|[^{LETTERS}])((по|в|на|при)\\s+[а-яё][а-яё\\s-]{{2,40}})', 1)) AS tail FROM ({derived.CONTACTS})")
+def _(spark, d):
+    return derived.contacts(spark, d).select("ord", P.tail(F.col("position_raw")).alias("tail"))
+
+
+@query("catalog_listing", f"WITH {CATALOG} SELECT id, canonical, category, sheet, priority, len(aliases) AS aliases_count FROM catalog")
+def _(spark, d):
+    return reports.catalog_listing(catalog.catalog_frame(spark))
+
+
+# Duplicates.
+KEY = r"""CASE WHEN e <> '' THEN concat('e:', s, ':', e) WHEN n <> '' AND p <> '' THEN concat('np:', s, ':', n, ':', p) WHEN n <> '' THEN concat('n:', s, ':', n) WHEN p <> '' THEN concat('p:', s, ':', p) ELSE concat('z:', s, ':', lower(trim(position_raw))) END"""
+FULL = " + ".join(f"CAST({c} <> '' AS INT)" for c in D.COUNTED)
+KEYED = rf"""k AS (SELECT *, lower(trim(domain)) AS s, regexp_replace(lower(trim(full_name)), '\s+', ' ', 'g') AS n, lower(trim(CASE WHEN person_email <> '' THEN person_email ELSE company_email END)) AS e,
+  regexp_replace(CASE WHEN person_phone <> '' THEN person_phone ELSE company_phone END, '[^0-9]', '', 'g') AS p FROM ({derived.CONTACTS})), keyed AS (SELECT *, {KEY} AS dedup_key, CAST({FULL} AS INTEGER) AS completeness FROM k)"""
+
+
+def keyed(spark: SparkSession, d: str) -> DataFrame:
+    return derived.contacts(spark, d).withColumn("dedup_key", D.dedup_key())
+
+
+@query("dedup_key", f"WITH {KEYED} SELECT ord, dedup_key FROM keyed")
+def _(spark, d):
+    return keyed(spark, d).select("ord", "dedup_key")
+
+
+@query("completeness", f"WITH {KEYED} SELECT ord, completeness FROM keyed")
+def _(spark, d):
+    return derived.contacts(spark, d).select("ord", D.completeness().alias("completeness"))
+
+
+BEST = f"{KEYED}, best AS (SELECT *, row_number() OVER (PARTITION BY task_id, site_id, dedup_key ORDER BY completeness DESC, ord) AS r, min(ord) OVER (PARTITION BY task_id, site_id, dedup_key) AS first FROM keyed)"
+
+
+@query("dedup_best", f"WITH {BEST} SELECT first AS ord, task_id, site_id, dedup_key, full_name, position_raw FROM best WHERE r = 1")
+def _(spark, d):
+    return D.dedup(keyed(spark, d), ["task_id", "site_id"]).select("ord", "task_id", "site_id", "dedup_key", "full_name", "position_raw")
+
+
+@query("target_filter", f"WITH {BEST} SELECT first AS ord, site_id, position_raw FROM best WHERE r = 1 AND (contains(lower(position_raw), 'бухгалтер') OR contains(lower(position_canonical), 'бухгалтер'))")
+def _(spark, d):
+    return D.dedup(keyed(spark, d), ["task_id", "site_id"]).where(resolve.matches_targets(["Бухгалтер ", ""])).select("ord", "site_id", "position_raw")
+
+
+# Sites.
+@query("company_merge", f"WITH p AS (SELECT ltrim({HOST}, 'w.') AS domain, page_id, replace(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '&amp;', '&') AS t FROM pages) SELECT domain, coalesce(arg_min(t, page_id) FILTER (WHERE t <> ''), '') AS title, count(*) AS pages FROM p GROUP BY domain")
+def _(spark, d):
+    rows = parsed(spark, d).select(U.domain(F.col("url")).alias("domain"), F.col("page_id").alias("page_ord"), F.col("page.title").alias("t"))
+    return rows.groupBy("domain").agg(sites.merged("title", F.col("t")), F.count(F.lit(1)).alias("pages"))
+
+
+@query("company_fallback", """WITH s AS (SELECT n_nationkey AS site_id, n_name AS company_name FROM nation), c AS (SELECT DISTINCT c_nationkey AS site_id FROM customer WHERE c_custkey % 11 = 0 AND c_nationkey % 3 = 0)
+SELECT site_id, company_name, 'Компания (без контактного лица)' AS role_category, 'Остальные' AS sheet_name, 'partial' AS status, 'z:' || 'n' || site_id || '.ru:' AS dedup_key FROM s WHERE site_id NOT IN (SELECT site_id FROM c)""")
+def _(spark, d):
+    have = read(spark, d, "customer").where("c_custkey % 11 = 0 AND c_nationkey % 3 = 0").select(F.col("c_nationkey").alias("site_id")).distinct()
+    facts = read(spark, d, "nation").select(F.col("n_nationkey").alias("site_id"), F.col("n_name").alias("company_name"), *[F.lit("").alias(c) for c in sites.FACTS if c != "company_name"], F.concat(F.lit("https://n"), F.col("n_nationkey"), F.lit(".ru/")).alias("site_url"))
+    return sites.company_only(facts.join(have, "site_id", "left_anti"), ["site_id"]).select("site_id", "company_name", "role_category", "sheet_name", "status", "dedup_key")
+
+
+@query("site_pipeline")
+def _(spark, d):
+    """Every page as the home page of a site of its own host."""
+    pages = read(spark, d, "pages").select(U.host(F.col("url")).alias("site_id"), F.col("page_id").alias("page_ord"), F.col("url").alias("page_url"), "html")
+    return sites.extract_sites(pages).drop("social_links")
+
+
+SOCIAL_TEXT = "concat('see https://vk.com/user', CAST(c_custkey AS VARCHAR(9)), '/ and http://www.t.me/share/x, https://facebook.com/tr?id=1 https://vk.com/user', CAST(c_custkey AS VARCHAR(9)), ' https://ok.ru/logo.png https://linkedin.com/in/p', CAST(c_custkey % 5 AS VARCHAR(9)), '?a=b')"
+
+
+@query("social_links", "SELECT c_custkey AS ord, concat('https://vk.com/user', c_custkey, ',https://linkedin.com/in/p', c_custkey % 5) AS links FROM customer")
+def _(spark, d):
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("ord"), text.joined(text.extract_social_links(F.expr(SOCIAL_TEXT.replace("VARCHAR(9)", "STRING")))).alias("links"))
+
+
+LINES = ["﻿url", "# note", "example.ru", "http://a.ru ", "ООО, site, b.ru, c.ru", "", "сайт", "d.ru,", "a,b"]
+PARSED = ["https://example.ru", "http://a.ru", "https://b.ru", "https://d.ru"]
+
+
+@query("url_upload_parse", f"SELECT unnest([{lit(PARSED)}]) AS url")
+def _(spark, d):
+    return uploads.parse_lines(spark.createDataFrame([(x,) for x in LINES], "value string"))
+
+
+@query("url_list", "SELECT trim(url) AS url FROM pages WHERE trim(url) <> ''")
+def _(spark, d):
+    return read(spark, d, "pages").select(F.trim("url").alias("url")).where("url <> ''")
+
+
+@query("target_field", "SELECT 1 AS k, 'a,b' AS targets UNION ALL SELECT 2, 'x,y z'")
+def _(spark, d):
+    rows = spark.createDataFrame([(1, '["a", "b"]'), (2, "x, ,y z")], "k int, field string")
+    return rows.select("k", text.joined(uploads.target_positions(F.col("field"))).alias("targets"))
+
+
+@query("blacklist_anti", f"SELECT ord FROM ({derived.CONTACTS}) WHERE domain NOT IN ('s3.example.ru') AND person_email NOT IN ('p3@example.ru') AND lower(trim(position_canonical)) <> 'бухгалтер'")
+def _(spark, d):
+    listed = spark.createDataFrame([("domain", "S3.example.ru"), ("email", "p3@example.ru"), ("position", "Бухгалтер")], "entry_type string, entry_value string")
+    return store.without_blacklisted(derived.contacts(spark, d), listed).select("ord")
+
+
+@query("insert_or_ignore", "SELECT n_nationkey AS k, n_name AS v FROM nation UNION ALL SELECT min(s_suppkey) + 100 AS k, concat('site', s_nationkey) FROM supplier GROUP BY s_nationkey")
+def _(spark, d):
+    have = read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("v"))
+    new = read(spark, d, "supplier").groupBy("s_nationkey").agg((F.min("s_suppkey") + 100).alias("k")).select("k", F.concat(F.lit("site"), F.col("s_nationkey")).alias("v"))
+    return store.insert_new(have, new.unionByName(have.limit(3)), ["v"])
+
+
+# Reports.
+BUCKET = f"CASE WHEN sheet_name IN ({lit(catalog.SHEETS)}) THEN sheet_name ELSE 'Остальные' END"
+
+
+@query("role_sheets", f"WITH b AS (SELECT ord, {BUCKET} AS sheet FROM ({derived.CONTACTS})) SELECT ord, sheet, CAST(row_number() OVER (PARTITION BY sheet ORDER BY ord) AS INTEGER) AS n FROM b")
+def _(spark, d):
+    return reports.numbered(derived.contacts(spark, d)).select("ord", "sheet", "n")
+
+
+@query("sheet_counts", f"WITH b AS (SELECT {BUCKET} AS sheet FROM ({derived.CONTACTS})) SELECT CAST(s.pos AS INTEGER) AS pos, s.sheet, count(b.sheet) AS n FROM (SELECT unnest([{lit(catalog.SHEETS)}]) AS sheet, unnest(range(0, 5)) AS pos) s LEFT JOIN b USING (sheet) GROUP BY 1, 2")
+def _(spark, d):
+    return reports.sheet_counts(derived.contacts(spark, d))
+
+
+@query("method_counts", f"WITH b AS (SELECT norm_method AS method FROM ({derived.CONTACTS})) SELECT CAST(s.pos AS INTEGER) AS pos, s.method, count(b.method) AS n FROM (SELECT unnest([{lit(catalog.METHODS)}]) AS method, unnest(range(0, 5)) AS pos) s LEFT JOIN b USING (method) GROUP BY 1, 2")
+def _(spark, d):
+    return reports.method_counts(derived.contacts(spark, d))
+
+
+@query("summary_kv", f"""WITH c AS ({derived.CONTACTS}), t AS (SELECT count(*) AS a, count(DISTINCT nullif(domain, '')) AS b, count(*) FILTER (WHERE full_name <> '') AS c, count(*) FILTER (WHERE person_email <> '') AS d, count(*) FILTER (WHERE person_phone <> '') AS e, count(*) FILTER (WHERE inn <> '') AS f FROM c)
+SELECT label, CAST(value AS VARCHAR) AS value FROM (SELECT unnest(['Всего записей', 'Уникальных доменов', 'С ФИО', 'С личным email', 'С личным телефоном', 'С ИНН']) AS label, unnest([a, b, c, d, e, f]) AS value FROM t)""")
+def _(spark, d):
+    return reports.summary(derived.contacts(spark, d), {}).where("pos BETWEEN 10 AND 15").select("label", "value")
+
+
+RANK = "CASE norm_method " + " ".join(f"WHEN '{m}' THEN {r}" for m, r in reports.QUALITY_ORDER.items()) + " ELSE 99 END"
+
+
+@query("quality_report", f"SELECT CAST({RANK} AS INTEGER) AS quality_rank, company_name, domain, position_raw, position_canonical, norm_method, comment FROM ({derived.CONTACTS}) ORDER BY quality_rank, ord")
+def _(spark, d):
+    return reports.quality_report(derived.contacts(spark, d))
+
+
+@query("error_sites", f"SELECT url, error_code, left(error_message, 200) AS error_message FROM ({derived.SITES}) WHERE status = 'error'")
+def _(spark, d):
+    return reports.error_sites(derived.sites(spark, d))
+
+
+@query("pending_sites", f"SELECT task_id, url, status FROM ({derived.SITES}) WHERE task_id = 't1' AND status IN ('pending', 'error')")
+def _(spark, d):
+    return reports.pending_sites(derived.sites(spark, d), "t1").select("task_id", "url", "status")
+
+
+COUNTERS = f"WITH s AS ({derived.SITES}), d AS (SELECT *, status NOT IN ('pending', 'processing') AS done FROM s), c AS (SELECT task_id, count(*) AS total, count(*) FILTER (WHERE done) AS processed, count(*) FILTER (WHERE done AND status = 'ok') AS ok, count(*) FILTER (WHERE done AND status <> 'ok') AS errors, CAST(coalesce(sum(contacts_count) FILTER (WHERE done), 0) AS BIGINT) AS contacts FROM d GROUP BY task_id)"
+
+
+@query("task_counters", f"{COUNTERS} SELECT *, CAST(floor(processed * 100 / total + 0.5) AS BIGINT) AS progress FROM c")
+def _(spark, d):
+    return reports.task_counters(derived.sites(spark, d))
+
+
+@query("task_list", f"SELECT * FROM ({derived.TASKS}) ORDER BY created_at DESC, task_id LIMIT 100")
+def _(spark, d):
+    return reports.task_list(derived.tasks(spark, d))
+
+
+@query("streaming_totals", f"{COUNTERS} SELECT task_id, processed, ok, errors, contacts FROM c WHERE processed > 0")
+def _(spark, d):
+    """The totals that a stream over finished sites ends with."""
+    from dramatis.streaming import totals
+
+    return totals.totals_of_stream(derived.sites(spark, d).where("status NOT IN ('pending', 'processing')"))
