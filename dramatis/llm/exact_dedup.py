@@ -33,8 +33,9 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
-#: Input of one trigger.
-FILES_PER_TRIGGER = 4096
+#: Input of one trigger, and keys that a partition of the state is planned for (each has a RocksDB instance, which takes some MB of disk at least).
+FILES_PER_TRIGGER, KEYS_PER_STATE, LEAST_STATES = 4096, 50_000, 12
+STATES = "spark.sql.streaming.internal.stateStore.partitions"
 #: Hits that may be broadcast; beyond, the texts are joined by a shuffle. At about 100 bytes each: 20 MB.
 BROADCAST_HITS = 200_000
 
@@ -57,15 +58,16 @@ def digest_udf(digest: Callable[[bytes], bytes]):
     return of
 
 
-def stream_state(scratch: Scratch, keys: str, schema, files_per_trigger: int) -> DataFrame:
-    """Run the stream over the table at ``keys`` to its end; the final state, one row a digest."""
+def stream_state(scratch: Scratch, keys: DataFrame, path: str, files_per_trigger: int) -> DataFrame:
+    """Run the stream over the table ``keys`` at ``path`` to its end; the final state, one row a digest."""
     spark = scratch.spark
-    before = {k: spark.conf.get(k, None) for k in ROCKSDB}
-    for k, v in ROCKSDB.items():
+    conf = ROCKSDB | {STATES: str(max(LEAST_STATES, -(-keys.count() // KEYS_PER_STATE)))}
+    before = {k: spark.conf.get(k) if spark.conf._jconf.contains(k) else None for k in conf}
+    for k, v in conf.items():
         spark.conf.set(k, v)
     try:
         updates = (
-            spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(keys)
+            spark.readStream.schema(keys.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
             .groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("best"), F.count(F.lit(1)).alias("group_size"))
         )
         # A repeated batch overwrites its own folder, so a restart counts nothing twice.
@@ -93,7 +95,7 @@ def exact_groups(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, digest
     digest_of = digest_udf(digest)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.input_file_name().alias("locator"))
     keys = scratch.keep(source.select("doc_id", "locator", digest_of("text").alias("digest")), "keys")
-    groups = scratch.keep(stream_state(scratch, scratch.path("keys"), keys.schema, files_per_trigger), "groups")
+    groups = scratch.keep(stream_state(scratch, keys, scratch.path("keys"), files_per_trigger), "groups")
     scratch.drop("stream", "updates")
     labelled = scratch.keep(keys.join(groups, "digest").select("digest", "doc_id", "locator", F.col("best.doc_id").alias("keep_id"), "group_size"), "labelled")
     scratch.drop("keys", "groups")
