@@ -12,11 +12,11 @@ left at full depth are exactly the repeated windows.
    window, however many there are; they are counted map-side.
 3. What is left are different runs of one anchor, at the edges of repeated passages. Each distinct run is fetched once,
    and the suffixes at equal offsets from the anchor are radix-sorted by eight bytes a pass in the
-   task that has the anchor. Anchors with more than HOT distinct runs would overload it; the windows of
-   those are dealt out one by one and counted by their whole content instead.
+   task that has the anchor. Anchors with more than HOT distinct runs would overload it; their runs are
+   dealt out in pieces of some windows, and at last in windows, which are counted by their whole content instead.
 
 Hashes of grams and runs are 64 bits each, and two runs count as equal only if both agree; windows in step 3 are
-compared byte by byte, or by a 128-bit digest for hot anchors.
+compared byte by byte, or by a 128-bit digest for hot anchors (where a piece also holds its distance from the anchor).
 
 Defined results: a null text counts as empty; texts under THRESHOLD bytes lose nothing. Rows that repeat id and text are occurrences
 of their own, so all of them lose what they share. An empty table gives an empty result.
@@ -40,6 +40,8 @@ THRESHOLD, GRAM = 200, 40
 PART = 1 << 20
 #: Distinct runs of an anchor beyond which its windows are dealt out singly.
 HOT = 256
+#: Windows of the pieces in which runs of hot anchors are dealt out, step by step.
+PIECES = (16, 1)
 #: Windows that one radix sort takes.
 SORTED_AT_ONCE = 400_000
 #: Documents that may be named in a broadcast; beyond, their texts are joined by a shuffle. At 16 bytes each: 5 MB.
@@ -208,20 +210,35 @@ def spans(t: pa.Table, owner: np.ndarray, inner: np.ndarray, repeated: np.ndarra
     return pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks().take(pa.array(of)), t.column("text_key").combine_chunks().take(pa.array(of)), pa.array((first + inner[start]).astype(np.int32)), pa.array((first + inner[end] + threshold).astype(np.int32))], ["doc_id", "text_key", "a", "b"])
 
 
-def single_windows(threshold: int):
-    """From distinct runs of hot anchors: one row per window, with a digest of its content."""
+PIECE = "doc_id long, text_key long, whole boolean, first int, count int, offset int, content binary, piece binary"
+
+
+def pieces_of_runs(threshold: int, width: int):
+    """From runs or pieces with their contents: pieces of ``width`` windows, cut at equal distances from the anchor, with a digest of what decides on equality."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            count = t.column("count").to_numpy()
-            owner = np.repeat(np.arange(len(count)), count)
-            inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-            contents = t.column("content").to_pylist()
-            digests = [hashlib.blake2b(c[k : k + threshold], digest_size=16).digest() for c, n in zip(contents, count.tolist(), strict=True) for k in range(n)]
-            of = pa.array(owner)
-            first = t.column("first").to_numpy()[owner] + inner
-            yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks().take(of) for c in ("doc_id", "text_key", "whole")] + [pa.array(first.astype(np.int32)), pa.array(digests, pa.binary())], ["doc_id", "text_key", "whole", "a", "window"])
+            owner, inner, sizes, parts, digests = [], [], [], [], []
+            for k, (count, offset, content) in enumerate(zip(*(t.column(c).to_pylist() for c in ("count", "offset", "content")), strict=True)):
+                at = 0
+                while at < count:
+                    # Windows whose anchor is (offset - at) bytes in: cut where that is a multiple of the width.
+                    n = min(count - at, (offset - at) % width + 1)
+                    part = content[at : at + n + threshold - 1]
+                    owner.append(k)
+                    inner.append(at)
+                    sizes.append(n)
+                    parts.append(part)
+                    digests.append(hashlib.blake2b(part, digest_size=16, salt=b"%d,%d" % (n, offset - at)).digest())
+                    at += n
+            of = pa.array(owner, pa.int32())
+            columns = {c: t.column(c).combine_chunks().take(of) for c in ("doc_id", "text_key", "whole", "first", "offset")}
+            shift = np.array(inner, np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [columns["doc_id"], columns["text_key"], columns["whole"], pa.array(columns["first"].to_numpy() + shift), pa.array(sizes, pa.int32()), pa.array(columns["offset"].to_numpy() - shift), pa.array(parts, pa.binary()), pa.array(digests, pa.binary())],
+                ["doc_id", "text_key", "whole", "first", "count", "offset", "content", "piece"],
+            )
 
     return run
 
@@ -255,11 +272,16 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, threshold: int = THRESHOLD
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cool = fetched.join(crowded, "anchor", "left_anti").repartition(width, "anchor").sortWithinPartitions("anchor")
     edges = cool.mapInArrow(contested_spans(threshold), SPAN)
-    windows = fetched.join(crowded, "anchor", "left_semi").mapInArrow(single_windows(threshold), "doc_id long, text_key long, whole boolean, a int, window binary")
-    windows = scratch.keep(windows, "windows")
-    shared = scratch.keep(windows.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.max("whole").alias("w")).where("n > 1 or w").select("window"), "shared")
-    singles = windows.where("not whole").join(shared, "window").select("doc_id", "text_key", "a", (F.col("a") + threshold).alias("b"))
-    return span(repeated.where("not several")).unionByName(whole).unionByName(edges).unionByName(singles)
+    found = span(repeated.where("not several")).unionByName(whole).unionByName(edges)
+    # Runs of hot anchors in pieces, and pieces that stay alone in windows; equal ones are counted map-side at each step.
+    rows = fetched.join(crowded, "anchor", "left_semi")
+    for width in PIECES:
+        pieces = scratch.keep(rows.mapInArrow(pieces_of_runs(threshold, width), PIECE), f"pieces{width}")
+        met = pieces.groupBy("piece").agg(((F.count(F.lit(1)) > 1) | F.max("whole")).alias("whole"), F.min(F.struct("doc_id", "text_key", "first", "count", "offset", "content")).alias("r"))
+        distinct = scratch.keep(met.select("piece", "whole", "r.*"), f"distinct{width}")
+        found = found.unionByName(span(pieces.where("not whole").join(distinct.where("whole").select("piece"), "piece")))
+        rows = distinct
+    return found
 
 
 def cut(text: bytes, found: np.ndarray) -> tuple[int, int, bytes]:
