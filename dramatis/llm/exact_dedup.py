@@ -21,11 +21,12 @@ import hashlib
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from dramatis.llm.common import ID, TEXT, Scratch, table
+from dramatis.llm.common import ID, TEXT, Scratch, fresh_name, table
 
 #: State of the stream is kept in RocksDB on local disk and uploaded to the checkpoint.
 ROCKSDB = {
@@ -93,7 +94,11 @@ def exact_groups(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, digest
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
     digest_of = digest_udf(digest)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.input_file_name().alias("locator"))
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
+    try:
+        source = docs.select(*columns, F.input_file_name().alias("locator"))
+    except AnalysisException:  # rows of several tables have no file of their own; then the identifier alone locates
+        source = docs.select(*columns, F.lit("").alias("locator"))
     keys = scratch.keep(source.select("doc_id", "locator", digest_of("text").alias("digest")), "keys")
     groups = scratch.keep(stream_state(scratch, keys, scratch.path("keys"), files_per_trigger), "groups")
     scratch.drop("stream", "updates")
@@ -118,8 +123,9 @@ def exact_groups(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, digest
 
 def kept_documents(docs: DataFrame, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
     """The documents that stay, with all their columns."""
-    dropped = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("dropped_id"))
-    return docs.join(dropped.distinct(), F.col(id_col).cast("long").eqNullSafe(F.col("dropped_id")), "left_anti")
+    name = fresh_name(docs, "dropped_id")
+    dropped = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(name))
+    return docs.join(dropped.distinct(), F.col(id_col).cast("long").eqNullSafe(F.col(name)), "left_anti")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dramatis.llm.common import ID, TEXT, table
+from dramatis.llm.common import ID, TEXT, fresh_name, table
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 PER_LANGUAGE, PER_DOCUMENT, EPOCHS, BATCH, RATE, SEED = 400, 3, 4, 64, 0.01, 3
@@ -219,8 +219,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = ID, text_col: st
 
 def accepted(docs: DataFrame, net: Network | None, least_score: float = LEAST_SCORE, text_col: str = TEXT) -> DataFrame:
     """The documents whose language is told with at least ``least_score``, with all their columns."""
-    names = docs.columns
-    answer = "__answer"
+    names, answer = docs.columns, fresh_name(docs, "answer")
     return docs.withColumn(answer, predicted(docs, net, text_col)).where((F.col(f"{answer}.lang") != UNKNOWN) & (F.col(f"{answer}.score") >= least_score)).select(*names)
 
 

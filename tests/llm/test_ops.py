@@ -84,6 +84,11 @@ def test_exact_dedup_over_many_triggers_and_with_colliding_digests(spark):
     assert {r.doc_id: (r.keep_id, r.group_size) for r in weak.collect()} == want
 
 
+def test_exact_dedup_of_a_join(spark):
+    a, b = (spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", c) for c in ("text", "lang"))
+    assert exact_dedup.exact_groups(a.join(b, "doc_id")).count() == a.count()
+
+
 # 2
 
 
