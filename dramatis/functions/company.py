@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dramatis.functions.binding import let
+from dramatis.functions.binding import let, literal_array
 
 # Separators, phrases and words that results depend on.
 ENTITIES = [("&nbsp;", " "), ("&quot;", '"'), ("&amp;", "&"), ("&laquo;", "«"), ("&raquo;", "»")]
@@ -34,21 +34,21 @@ EDGE = " :—–-|"
 def first_separated(raw: Column) -> Column:
     """What stands before the first of the separators, in their order, that occurs at all."""
     s = F.trim(raw)
-    present = F.filter(F.array(*[F.lit(x) for x in SEPARATORS]), lambda x: F.contains(s, x))
+    present = F.filter(literal_array(SEPARATORS), lambda x: F.contains(s, x))
     return let(F.get(present, F.lit(0)), lambda x: F.when(x.isNull(), s).otherwise(F.trim(F.split_part(s, x, F.lit(1)))))
 
 
 def upper_forms(phrase: Column) -> Column:
     """Legal forms in capitals; other words keep their form (no open-vocabulary declension)."""
     tokens = F.regexp_extract_all(phrase, F.lit(r"(?U)\s+|\S+"), 0)
-    forms = F.array(*[F.lit(x) for x in FORMS])
+    forms = literal_array(FORMS)
     low = lambda t: F.btrim(F.lower(t), F.lit("«»\"'"))
     return F.array_join(F.transform(tokens, lambda t: F.when(~F.rlike(t, F.lit("^[«\"'`]")) & F.array_contains(forms, low(t)), F.upper(t)).otherwise(t)), "")
 
 
 def without_noise(s: Column) -> Column:
     """What follows a phrase of the interface at the beginning; null if such a phrase is all. The first phrase of the list that fits decides."""
-    phrases = F.array(*[F.lit(p) for p in NOISE])
+    phrases = literal_array(NOISE)
 
     def of(low: Column) -> Column:
         fits = F.filter(phrases, lambda p: (low == p) | F.startswith(low, F.concat(p, F.lit(" "))) | F.startswith(low, F.concat(p, F.lit(":"))))
@@ -60,7 +60,7 @@ def without_noise(s: Column) -> Column:
 
 def without_prefixes(s: Column) -> Column:
     """Without the words of the prefix list that it begins with."""
-    prefixes = F.array(*[F.lit(x) for x in PREFIX_FORMS])
+    prefixes = literal_array(PREFIX_FORMS)
     words = F.filter(F.split(s, r"(?U)\s+"), lambda w: w != "")
     kept = F.aggregate(words, F.array().cast("array<string>"), lambda a, w: F.when((F.size(a) == 0) & F.array_contains(prefixes, F.lower(w)), a).otherwise(F.concat(a, F.array(w))))
     return F.array_join(kept, " ")

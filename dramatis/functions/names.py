@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dramatis.functions.binding import let
+from dramatis.functions.binding import let, literal_array
 
 # Words that are never part of a name, and patterns that results depend on.
 STOP_WORDS = {
@@ -45,7 +45,7 @@ def split_name(raw: Column) -> Column:
 
 
 def _split(plain: Column) -> Column:
-    stop = F.array(*[F.lit(w) for w in STOP])
+    stop = literal_array(STOP)
     name = lambda last, first, patronymic=F.lit(""): F.struct(last.alias("last"), first.alias("first"), patronymic.alias("patronymic"))
     is_patronymic = lambda t: F.rlike(t, F.lit(f"{MALE_PATRONYMIC}|{FEMALE_PATRONYMIC}"))
     initials = lambda t: F.rlike(t, F.lit(INITIALS))

@@ -7,14 +7,13 @@ map look-up, lemma matches by higher-order functions over 59 entries. Only fuzzy
 from __future__ import annotations
 
 from functools import cache
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from dramatis.functions.binding import let
+from dramatis.functions.binding import let, literal_array, literal_map, sql_literal
 from dramatis.functions.morph import KEPT_UPPER, lemma_table
 from dramatis.sources.catalog import OTHERS, ROLE_SHEETS, Position, positions
 
@@ -61,7 +60,7 @@ def _cut(title: Column) -> Column:
 
 @cache
 def _lemma_map() -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(lemma_table().items())])
+    return literal_map(lemma_table())
 
 
 def lemmas(text: Column) -> Column:
@@ -110,7 +109,7 @@ def sheet_of(ord_: Column, low: Column, found: Column) -> Column:
 
 def field(ord_: Column, get) -> Column:
     """A field of the entry of that number; null for null."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for p in positions() for x in (p.ord, get(p))]), ord_)
+    return F.try_element_at(literal_map({p.ord: get(p) for p in positions()}), ord_)
 
 
 @cache
@@ -119,7 +118,7 @@ def _exact_map() -> Column:
     for p in positions():
         for name in [p.canonical, *p.aliases]:
             first.setdefault(name.lower(), p.ord)
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(first.items())])
+    return literal_map(first)
 
 
 def exact_match(low: Column) -> Column:
@@ -127,16 +126,26 @@ def exact_match(low: Column) -> Column:
     return F.try_element_at(_exact_map(), low)
 
 
+@cache
+def _rules() -> Column:
+    """The entries that have keywords, as an array literal."""
+
+    def rule(p: Position) -> str:
+        fields = {"priority": p.priority, "size": len(" ".join(p.keywords)), "back": -p.ord, "keywords": p.keywords, "required": p.requires_any, "pattern": _word_starts(p.requires_any)}
+        return f"named_struct({', '.join(f'{sql_literal(k)}, {sql_literal(v)}' for k, v in fields.items())})"
+
+    return F.expr(f"array({', '.join(rule(p) for p in positions() if p.keywords)})")
+
+
 def morph_match(low: Column, found: Column) -> Column:
     """Number of the best entry all of whose keywords occur: highest priority, then longest keywords, then first."""
 
-    def rank(p: Position) -> Column:
-        fits = has_required(low, found, p.requires_any)
-        for word in p.keywords:
-            fits = fits & has_lemma(found, F.lit(word))
-        return F.when(fits, F.struct(F.lit(p.priority).alias("priority"), F.lit(len(" ".join(p.keywords))).alias("size"), F.lit(-p.ord).alias("back")))
+    def fits(e: Column) -> Column:
+        required = (F.size(e["required"]) == 0) | F.exists(e["required"], lambda t: has_lemma(found, t)) | F.rlike(low, e["pattern"])
+        return F.forall(e["keywords"], lambda k: has_lemma(found, k)) & required
 
-    return -F.array_max(F.array_compact(F.array(*[rank(p) for p in positions() if p.keywords])))["back"]
+    ranks = F.transform(F.filter(_rules(), fits), lambda e: F.struct(e["priority"].alias("priority"), e["size"].alias("size"), e["back"].alias("back")))
+    return -F.array_max(ranks)["back"]
 
 
 def lcs(a: str, b: str) -> int:
@@ -206,7 +215,7 @@ def built_canonical(ord_: Column, cleaned: Column) -> Column:
 def fallback_canonical(cleaned: Column) -> Column:
     """An unmatched title in lower case, abbreviations and legal forms in capitals, the first letter capital."""
     tokens = F.regexp_extract_all(cleaned, F.lit(r"(?U)[\s,.;:/]+|[^\s,.;:/]+"), 0)
-    upper = F.array(*[F.lit(w) for w in [*KEPT_UPPER, *LEGAL_FORMS]])
+    upper = literal_array([*KEPT_UPPER, *LEGAL_FORMS])
     words = F.transform(tokens, lambda t: F.when(F.array_contains(upper, F.lower(t)), F.upper(t)).when(F.rlike(t, F.lit("^[A-Za-zА-Яа-яЁё]")), F.lower(t)).otherwise(t))
     return let(F.trim(F.array_join(words, "")), lambda t: F.concat(F.upper(F.left(t, F.lit(1))), F.substring(t, 2, 1_000_000)))
 

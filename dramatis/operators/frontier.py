@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dramatis.functions import urls as U
+from dramatis.functions.binding import literal_array
 
 DEPTH = {"fast_start": 6, "all_contacts": 15}
 
@@ -27,7 +28,7 @@ def ranked_links(links: DataFrame, id_col: str = "page_id", limit: int | None =
 
 def guessed(sites: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """The usual paths under the root of each site, in order."""
-    paths = F.array(*[F.lit(p) for p in U.GUESSED_PATHS])
+    paths = literal_array(U.GUESSED_PATHS)
     return sites.select(F.col(id_col), F.col(url_col).alias("base_url"), F.posexplode(paths).alias("pos", "path")).select(id_col, "base_url", F.concat(U.root(F.col("base_url")), "path").alias("link"), (F.col("pos") + 1).alias("rank"))
 
 

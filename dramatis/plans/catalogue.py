@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dramatis.functions import company, names, text
 from dramatis.functions import positions as P
 from dramatis.functions import urls as U
+from dramatis.functions.binding import let
 from dramatis.functions.morph import lemma_table
 from dramatis.operators import contacts as people
 from dramatis.operators import dedup as D
@@ -267,9 +268,9 @@ def _(spark, d):
 
 @query("position_morph", f"WITH {RESOLVED} SELECT row_ord AS ord, id AS matched_id FROM titles JOIN morph USING (cleaned) JOIN catalog c ON c.ord = morph.ord")
 def _(spark, d):
-    known = derived.contacts(spark, d).select("ord", P.clean(F.col("position_raw")).alias("c")).where("c <> ''").select("ord", F.lower("c").alias("low"), P.lemmas(F.col("c")).alias("found"))
-    rows = known.withColumn("hit", P.morph_match(F.col("low"), F.col("found"))).where("hit is not null")
-    return rows.select("ord", P.field(F.col("hit"), lambda p: p.id).alias("matched_id"))
+    rows = derived.contacts(spark, d).select("ord", P.clean(F.col("position_raw")).alias("c"))
+    hits = rows.select("c").where("c <> ''").distinct().select("c", let(P.lemmas(F.col("c")), lambda found: P.morph_match(F.lower("c"), found)).alias("hit"))
+    return rows.join(hits, "c").where("hit is not null").select("ord", P.field(F.col("hit"), lambda p: p.id).alias("matched_id"))
 
 
 @query("position_cascade", f"WITH {RESOLVED} SELECT row_ord AS ord, method, matched_id, category FROM titles JOIN resolved USING (cleaned)")
