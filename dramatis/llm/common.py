@@ -5,10 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Column names of the corpus tables.
 ID, TEXT = "doc_id", "text"
+#: Ids that may be broadcast, a few MB; beyond, rows are joined by a shuffle.
+BROADCAST_IDS = 200_000
+#: Of a sample of n, so many times n rows are drawn by hash before the n of least hash are taken.
+OVERSAMPLING, DRAW = 3, 1_000_003
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,3 +60,17 @@ class Scratch:
         for name in names:
             where = jvm.org.apache.hadoop.fs.Path(self.path(name))
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def only_kept(docs: DataFrame, id_col: str, decisions: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay by ``decisions`` (id, kept), with all their columns. Rows that share an id stay if any of them does."""
+    name = fresh_name(docs, "dropped_id")
+    dropped = decisions.toDF("id", "kept").groupBy("id").agg(F.bool_or("kept").alias("kept")).where("not kept").select(F.col("id").alias(name))
+    ids = Scratch(docs.sparkSession, "dropped").keep(dropped, "ids")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, F.col(id_col).cast("long").eqNullSafe(F.col(name)), "left_anti")
+
+
+def drawn(rows: Column, wanted: int, total: Column) -> Column:
+    """Whether a row is drawn, by the hash of ``rows``, into the superset of a sample of ``wanted`` out of ``total``. So no task has to rank more than that."""
+    return F.pmod(F.xxhash64(rows, F.lit("draw")), F.lit(DRAW)) * total <= F.lit(OVERSAMPLING * wanted * DRAW)

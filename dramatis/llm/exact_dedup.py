@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from dramatis.llm.common import ID, TEXT, Scratch, fresh_name, table
+from dramatis.llm.common import ID, TEXT, Scratch, only_kept, table
 
 #: State of the stream is kept in RocksDB on local disk and uploaded to the checkpoint.
 ROCKSDB = {
@@ -123,9 +123,7 @@ def exact_groups(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, digest
 
 def kept_documents(docs: DataFrame, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
     """The documents that stay, with all their columns."""
-    name = fresh_name(docs, "dropped_id")
-    dropped = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(name))
-    return docs.join(dropped.distinct(), F.col(id_col).cast("long").eqNullSafe(F.col(name)), "left_anti")
+    return only_kept(docs, id_col, exact_groups(docs, id_col, text_col).select("doc_id", "kept"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

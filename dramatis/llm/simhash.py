@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dramatis.llm.common import ID, TEXT, Scratch, fresh_name, table
+from dramatis.llm.common import ID, TEXT, Scratch, only_kept, table
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Distinct fingerprints of a bucket beyond which it is hashed further, and free bits below which it never is.
@@ -193,9 +193,7 @@ def near_groups(docs: DataFrame, id_col: str = ID, text_col: str = TEXT) -> Data
 
 def kept_documents(docs: DataFrame, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
     """The document of least id of each component, with all its columns."""
-    name = fresh_name(docs, "dropped_id")
-    dropped = near_groups(docs, id_col, text_col).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias(name))
-    return docs.join(dropped.distinct(), F.col(id_col).cast("long").eqNullSafe(F.col(name)), "left_anti")
+    return only_kept(docs, id_col, near_groups(docs, id_col, text_col).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
