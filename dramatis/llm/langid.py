@@ -19,12 +19,12 @@ any length are read whole. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,7 +36,7 @@ PER_LANGUAGE, PER_DOCUMENT, EPOCHS, BATCH, RATE, SEED = 400, 3, 4, 64, 0.01, 3
 #: Windows that are worked on at once.
 AT_ONCE = 256
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Below this mean probability the pipeline does not trust the answer.
 LEAST_SCORE = 0.4
 
