@@ -20,6 +20,7 @@ from dramatis.operators.dedup import dedup, dedup_key
 from dramatis.operators.resolve import matches_targets, with_positions
 from dramatis.sources.catalog import OTHERS
 from dramatis.sources.html import parse_page
+from dramatis.sources.scratch import kept
 
 FACTS = ["company_name", "inn", "kpp", "company_email", "company_phone", "language"]
 COMPANY_ONLY = {"role_category": "Компания (без контактного лица)", "comment": "Компания без персональных ФИО"}
@@ -95,9 +96,12 @@ def company_only(sites: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def extract_sites(pages: DataFrame, keys: list[str] | None = None, targets: list[str] | None = None, phones: str = "regex", fuzzy: bool = True) -> DataFrame:
-    """Contacts of all sites from pages (keys..., page_ord, page_url, html)."""
+    """Contacts of all sites from pages (keys..., page_ord, page_url, html).
+
+    The facts of sites, and the people found, are written to shared storage: both are used twice, and pages are parsed once.
+    """
     keys = keys or ["site_id"]
-    sites = site_facts(pages, keys, phones)
-    people = dedup(normalise(raw_contacts(sites, keys), fuzzy), keys).where(matches_targets(targets or []))
+    sites = kept(site_facts(pages, keys, phones), "sites")
+    people = kept(dedup(normalise(raw_contacts(sites, keys), fuzzy), keys).where(matches_targets(targets or [])), "people")
     alone = sites.join(people.select(*keys).distinct(), keys, "left_anti")
     return people.unionByName(company_only(alone, keys))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from dramatis.sources.scratch import shared_folder
+
 SITE_EVENT = "task_id string, url string, status string, contacts_count long"
 
 
@@ -42,12 +45,8 @@ def resumable(sites: DataFrame, finished: DataFrame) -> DataFrame:
 
 def totals_of_stream(sites: DataFrame, files_per_trigger: int = 4) -> DataFrame:
     """Write finished sites as a stream's input, run the stream to its end, and give the last totals of each task."""
-    import tempfile
-    import uuid
-
     spark = sites.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dramatis-")
-    root = f"{base}/totals-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/totals-{uuid.uuid4().hex}"
     schema = sites.select("task_id", "url", "status", "contacts_count").schema
     sites.select(*schema.names).write.parquet(f"{root}/in")
     publish_totals(read_events(spark, f"{root}/in", schema, files_per_trigger), f"{root}/checkpoint", lambda df, batch: df.write.mode("overwrite").parquet(f"{root}/out/batch={batch}")).awaitTermination()
