@@ -53,6 +53,11 @@ def has_company_data() -> Column:
     return F.concat_ws("", *[F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("company_name", "company_email", "company_phone", "inn")]) != ""
 
 
+def site_socials() -> Column:
+    """Aggregate: the first so many of a site's links, in order of name."""
+    return F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("socials")))), 1, text.MAX_SOCIALS)
+
+
 def site_facts(pages: DataFrame, keys: list[str], phones: str = "regex") -> DataFrame:
     """One row per site: merged facts, social links, raw contacts in page order, pages visited."""
     read = pages.where(F.coalesce(F.col("html"), F.lit("")) != "").withColumn("page", parse_page(F.col("html")))
@@ -60,7 +65,7 @@ def site_facts(pages: DataFrame, keys: list[str], phones: str = "regex") -> Data
     found = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("page_ord", "page_url", "found"))), lambda p: F.transform(p["found"], lambda c: F.struct(p["page_url"].alias("page_url"), *[c[f].alias(f) for f in ("full_name", "position_raw", "person_email", "person_phone")]))))
     return parts.groupBy(*keys).agg(
         *[merged(f) for f in FACTS], F.min_by("page_url", "page_ord").alias("site_url"), F.count(F.lit(1)).alias("pages_visited"),
-        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("socials")))), 1, text.MAX_SOCIALS).alias("social_links"), found.alias("found"),
+        site_socials().alias("social_links"), found.alias("found"),
     )
 
 

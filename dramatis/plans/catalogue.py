@@ -460,3 +460,43 @@ def _(spark, d):
     from dramatis.streaming import totals
 
     return totals.totals_of_stream(derived.sites(spark, d).where("status NOT IN ('pending', 'processing')"))
+
+
+@query("report_rows", f"SELECT CAST(row_number() OVER (ORDER BY ord) AS INTEGER) AS n, company_name, domain, full_name, position_raw, norm_method, CASE WHEN status = '' THEN 'ok' ELSE status END AS status, comment, '2024-01-01' AS scan_date, '' AS social_links FROM ({derived.CONTACTS})")
+def _(spark, d):
+    rows = derived.contacts(spark, d).withColumn("social_links", F.array().cast("array<string>"))
+    return reports.contact_rows(rows, "ord", "2024-01-01").select("n", "company_name", "domain", "full_name", "position_raw", "norm_method", "status", "comment", "scan_date", "social_links")
+
+
+@query("first_contacts", f"SELECT ord, full_name FROM ({derived.CONTACTS}) ORDER BY ord LIMIT 500")
+def _(spark, d):
+    return reports.first_contacts(derived.contacts(spark, d)).select("ord", "full_name")
+
+
+@query("blacklist_listing", "SELECT concat('d', event_id, '.ru') AS entry_value, ts AS added_at FROM events WHERE event_type = 'error' ORDER BY added_at DESC, entry_value")
+def _(spark, d):
+    rows = read(spark, d, "events").where("event_type = 'error'").select(F.concat(F.lit("d"), "event_id", F.lit(".ru")).alias("entry_value"), F.col("ts").alias("added_at"))
+    return reports.blacklist_listing(rows)
+
+
+@query("site_socials", "WITH l AS (SELECT c_nationkey AS site_id, 'https://vk.com/u' || c_custkey AS link FROM customer), r AS (SELECT site_id, link, row_number() OVER (PARTITION BY site_id ORDER BY link) AS r FROM (SELECT DISTINCT site_id, link FROM l)) SELECT site_id, string_agg(link, ',' ORDER BY link) AS links FROM r WHERE r <= 20 GROUP BY site_id")
+def _(spark, d):
+    page = F.concat(F.lit("x https://vk.com/u"), F.col("c_custkey"), F.lit("/ y"))
+    rows = read(spark, d, "customer").select(F.col("c_nationkey").alias("site_id"), text.extract_social_links(page).alias("socials"))
+    return rows.groupBy("site_id").agg(text.joined(sites.site_socials()).alias("links"))
+
+
+@query("site_contact_counts", f"SELECT task_id, site_id, count(*) AS contacts_count FROM ({derived.CONTACTS}) GROUP BY task_id, site_id")
+def _(spark, d):
+    return derived.contacts(spark, d).groupBy("task_id", "site_id").agg(F.count(F.lit(1)).alias("contacts_count"))
+
+
+@query("json_ld_names", "SELECT n_nationkey AS k, n_name AS names FROM nation")
+def _(spark, d):
+    page = F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"@type": ["Thing", "Organization"], "name": "x", "legalName": "'), F.col("n_name"), F.lit('"}]}</script><script type="application/ld+json">{</script>'))
+    return read(spark, d, "nation").select(F.col("n_nationkey").alias("k"), html.parse_page(page).alias("p")).select("k", text.joined(F.col("p.json_ld")).alias("names"))
+
+
+@query("has_company_data", f"SELECT ord, trim(company_name) <> '' OR trim(company_email) <> '' OR trim(company_phone) <> '' OR trim(inn) <> '' AS has_data FROM ({derived.CONTACTS})")
+def _(spark, d):
+    return derived.contacts(spark, d).select("ord", sites.has_company_data().alias("has_data"))

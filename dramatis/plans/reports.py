@@ -126,3 +126,13 @@ def catalog_listing(catalog: DataFrame) -> DataFrame:
 
 def catalog_size() -> int:
     return len(positions())
+
+
+def blacklist_listing(blacklist: DataFrame) -> DataFrame:
+    """Newest first."""
+    return blacklist.orderBy(F.desc("added_at"), "entry_value")
+
+
+def first_contacts(contacts: DataFrame, order: str = "ord", limit: int = 500) -> DataFrame:
+    """What a page of contacts shows."""
+    return contacts.orderBy(order).limit(limit)

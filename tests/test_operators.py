@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dramatis.operators import contacts, dedup, frontier, resolve, sites
 from dramatis.plans import reports
-from dramatis.sources import html, store, uploads
+from dramatis.sources import fetch, html, store, uploads
 from dramatis.streaming import totals
 
 
@@ -147,3 +147,13 @@ def test_uploads_and_updates(spark):
 def test_streaming_totals(spark):
     sites_ = spark.createDataFrame([("t", f"u{i}", "ok" if i % 3 else "partial", 2) for i in range(9)], "task_id string, url string, status string, contacts_count long").repartition(3)
     assert [tuple(r) for r in totals.totals_of_stream(sites_, 1).collect()] == [("t", 9, 6, 3, 18)]
+
+
+def test_fetching(spark):
+    def fake(url):
+        if "bad" in url:
+            raise OSError("no route")
+        return None if "none" in url else f"<p>{url}</p>"
+
+    rows = fetch.fetch_pages(spark.createDataFrame([(1, "http://a"), (2, "http://bad"), (3, "http://none"), (4, None)], "k int, page_url string"), fetch=fake).orderBy("k").collect()
+    assert [(r.html, r.error_code) for r in rows] == [("<p>http://a</p>", None), (None, "fetch_exception"), (None, "fetch_failed"), (None, "fetch_failed")]
