@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dramatis.llm.common import ID, TEXT, fresh_name, table
+from dramatis.llm.common import ID, TEXT, drawn, fresh_name, table
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 PER_LANGUAGE, PER_DOCUMENT, EPOCHS, BATCH, RATE, SEED = 400, 3, 4, 64, 0.01, 3
@@ -162,6 +162,8 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: s
     """A bounded sample of labelled documents: ids first, from slim columns, then the texts of those."""
     usable = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
     slim = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    counts = slim.groupBy("lang").agg(F.count(F.lit(1)).alias("total"))  # one row a language
+    slim = slim.join(F.broadcast(counts), "lang").where(drawn(F.col("id"), per_language, F.col("total")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     ids = [r.id for r in slim.withColumn("rank", rank).where(F.col("rank") <= per_language).collect()]
     rows = usable.where(F.col(id_col).isin(ids)).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang")).where("text is not null").collect()
