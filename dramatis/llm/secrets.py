@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dramatis.llm.common import ID, TEXT, table
+from dramatis.llm.common import ID, TEXT, drawn, table
 
 # The patterns of the contract, in its order, with the least length of what they must hold.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -47,7 +47,9 @@ BUILT_IN = "get user name list index count value first last table column number
 
 def training_words(docs: DataFrame, training_docs: int = TRAINING_DOCS, id_col: str = ID, text_col: str = TEXT) -> list[str]:
     """Distinct words of letters of a bounded sample of documents, in order."""
-    sample = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h")).where("text is not null").orderBy("h", F.xxhash64("text")).limit(training_docs).select("text")
+    slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"))
+    ids = [r.id for r in slim.where(drawn(F.col("id"), training_docs, F.lit(slim.count()))).orderBy(F.xxhash64("id"), "id").limit(training_docs).collect()]
+    sample = docs.where(F.col(id_col).isin(ids)).select(F.col(text_col).alias("text"))
     words = sample.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{2,14}"), 0)).alias("w")).select(F.lower("w").alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(20_000)
     return [r.w for r in words.collect()]
 
