@@ -20,7 +20,7 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +28,11 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dramatis.llm.common import ID, TEXT, table
+from dramatis.llm.common import ID, TEXT, slices, table
 
 NO_RANK = 1 << 60
-#: Remembered pieces per worker, and the longest piece that is remembered.
-REMEMBERED, LONGEST = 1_000_000, 48
+#: Remembered pieces per worker (about 200 bytes each), and the longest piece that is remembered.
+REMEMBERED, LONGEST = 600_000, 48
 #: str.split() takes these four for white space; the tokenizer does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 MARK_AFTER_LETTER = re.compile(r"([,.;:!?])(?<=[^\W\d_][,.;:!?])(?=\s)")
@@ -313,19 +313,25 @@ class Renderer:
     def texts(self, texts: list[str]) -> list[bytes]:
         """Values of a block of whole texts. What is new to it is encoded at once; then all is looked up."""
         parts = [[(special, None if part is None else self.bpe.split(part)) for part, special in self.bpe.pieces(t)] for t in texts]
-        known = self.known
-        if len(known) >= REMEMBERED:
-            known.clear()
-        unknown = set().union(*(pieces for text in parts for _, pieces in text if pieces)).difference(known)
+        if len(self.known) >= REMEMBERED:  # what this block has as well is likely to come again
+            seen = set().union(*(pieces for text in parts for _, pieces in text if pieces))
+            self.known = {p: self.known[p] for p in seen.intersection(self.known)}
+        known, get = self.known, self.known.get
+        found = [[(pieces, [self.special(special)] if pieces is None else [*map(get, pieces)]) for special, pieces in text] for text in parts]
+        unknown = {p for text in found for pieces, values in text if None in values for p, v in zip(pieces, values, strict=True) if v is None}
         self.learn(unknown)
-        get = known.__getitem__
-        # Without a joint, pieces that hold no word are no matter.
-        glued = (lambda pieces: b"".join(map(get, pieces))) if not self.joint else (lambda pieces: self.joint.join(filter(None, map(get, pieces))))
-        out = [[self.special(special) if pieces is None else glued(pieces) for special, pieces in text] for text in parts]
+        out = []
+        for text in found:
+            values = [x for _, own in text for x in own] if len(text) > 1 else text[0][1]
+            if None in values:
+                pieces = [p for own, _ in text for p in ((None,) if own is None else own)] if len(text) > 1 else text[0][0]
+                values = [known[p] if v is None else v for p, v in zip(pieces, values, strict=True)]
+            # Without a joint, pieces that hold no word are no matter.
+            out.append(self.joint.join(filter(None, values) if self.joint else values))
         for piece in unknown:
             if len(piece) > LONGEST:
                 del known[piece]
-        return [x[0] if len(x) == 1 else self.joint.join(filter(None, x)) for x in out]
+        return out
 
     def special(self, token: int) -> bytes:
         ids = array("I", [token]).tobytes()
@@ -351,7 +357,7 @@ def renderer(path: str, kind: str) -> Renderer:
 BLOCK = 2_000_000
 
 
-def blocks(texts: list[str]) -> Iterator[list[str]]:
+def blocks(texts: Iterable[str]) -> Iterator[list[str]]:
     """Runs of texts of about BLOCK characters."""
     run: list[str] = []
     held = 0
@@ -365,7 +371,12 @@ def blocks(texts: list[str]) -> Iterator[list[str]]:
         yield run
 
 
-def id_bytes(path: str, texts: list[str]) -> Iterator[bytes]:
+def texts_of(column: pa.Array) -> Iterator[str]:
+    """Texts of a column, a null as an empty one."""
+    return (t or "" for part in slices(column) for t in part)
+
+
+def id_bytes(path: str, texts: Iterable[str]) -> Iterator[bytes]:
     """The ids of each whole text as little-endian unsigned 32-bit numbers."""
     for run in blocks(texts):
         yield from renderer(path, "bytes").texts(run)
@@ -398,7 +409,7 @@ def digests(docs: DataFrame, path: str, id_col: str = ID, text_col: str = TEXT)
         store = renderer(path, "both")
         for batch in batches:
             counts, shown, decoded = [], [], []
-            for texts in blocks([t or "" for t in batch.column(1).to_pylist()]):
+            for texts in blocks(texts_of(batch.column(1))):
                 for both in store.texts(texts):
                     # Id, token, id, token ...: neither holds a line feed.
                     fields = both.split(b"\n") if both else []

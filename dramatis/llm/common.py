@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(array: pa.Array, rows: int = 512) -> Iterator[list]:
+    """The values of an Arrow array some rows at a time, so that not all of a batch are Python objects at once."""
+    for at in range(0, len(array), rows):
+        yield array.slice(at, rows).to_pylist()
+    pa.default_memory_pool().release_unused()
+
+
+def mapped(array: pa.Array, of: Callable, kind: pa.DataType) -> pa.Array:
+    """``of`` applied to each value."""
+    parts = [pa.array([of(x) for x in part], kind) for part in slices(array)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """``name``, or what no column of ``df`` is called."""
     taken = {c.lower() for c in df.columns}

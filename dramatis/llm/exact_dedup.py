@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from dramatis.llm.common import ID, TEXT, Scratch, only_kept, table
+from dramatis.llm.common import ID, TEXT, Scratch, mapped, only_kept, table
 
 #: State of the stream is kept in RocksDB on local disk and uploaded to the checkpoint.
 ROCKSDB = {
@@ -48,13 +48,13 @@ def sha256(data: bytes) -> bytes:
 @F.arrow_udf(BinaryType())
 def normalised(texts: pa.Array) -> pa.Array:
     """UTF-8 bytes with A-Z lower-cased and nothing else."""
-    return pa.array([(t or b"").lower() for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+    return mapped(texts.cast(pa.binary()), lambda t: (t or b"").lower(), pa.binary())
 
 
 def digest_udf(digest: Callable[[bytes], bytes]):
     @F.arrow_udf(BinaryType())
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([digest((t or b"").lower()) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+        return mapped(texts.cast(pa.binary()), lambda t: digest((t or b"").lower()), pa.binary())
 
     return of
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dramatis.llm.common import ID, TEXT, drawn, fresh_name, table
+from dramatis.llm.common import ID, TEXT, drawn, fresh_name, slices, table
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 PER_LANGUAGE, PER_DOCUMENT, EPOCHS, BATCH, RATE, SEED = 400, 3, 4, 64, 0.01, 3
@@ -194,14 +194,23 @@ def answers(net: Network | None, texts: list[str | None]) -> tuple[list[str], li
     return langs, scores
 
 
+def answered(net: Network | None, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """``answers`` for an Arrow array."""
+    langs, scores = [], []
+    for part in slices(texts):
+        got = answers(net, part)
+        langs += got[0]
+        scores += got[1]
+    return pa.array(langs, pa.string()), pa.array(scores, pa.float64())
+
+
 def predicted(docs: DataFrame, net: Network | None, text_col: str = TEXT) -> Column:
     """A column (lang string, score double) over ``text_col``."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.arrow_udf("lang string, score double")
     def of(texts: pa.Array) -> pa.Array:
-        langs, scores = answers(shared.value, texts.to_pylist())
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+        return pa.StructArray.from_arrays([*answered(shared.value, texts)], ["lang", "score"])
 
     return of(F.col(text_col))
 
@@ -212,8 +221,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = ID, text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = answers(shared.value, batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *answered(shared.value, batch.column(2))], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

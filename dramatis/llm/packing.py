@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dramatis.llm.bpe import id_bytes, vocabulary
+from dramatis.llm.bpe import id_bytes, texts_of, vocabulary
 from dramatis.llm.common import ID, TEXT, Scratch, table
 
 CAPACITY, CELLS, CLOSING = 2048, 256, 0
@@ -40,8 +40,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), id_bytes(path, texts), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), id_bytes(path, texts_of(batch.column(1))), strict=True):
                 ids += closing
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]

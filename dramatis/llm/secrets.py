@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dramatis.llm.common import ID, TEXT, drawn, table
+from dramatis.llm.common import ID, TEXT, drawn, mapped, table
 
 # The patterns of the contract, in its order, with the least length of what they must hold.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -147,7 +147,7 @@ def redacted(docs: DataFrame, models: Models, text_col: str = TEXT, length_col:
 
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
-        return pa.array([t and redact(t, find_spans(t, models)) for t in texts.to_pylist()], pa.string())
+        return mapped(texts, lambda t: t and redact(t, find_spans(t, models)), pa.string())
 
     out = docs.withColumn(text_col, clean(F.col(text_col)))
     if length_col in docs.columns:

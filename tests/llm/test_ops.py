@@ -166,7 +166,7 @@ def cut_one_segment(spark, path, tmp_path):
 
 # 4
 
-STRANGE = ["", "  ", "İstanbul ΣΑΣ ΟΔΟΣ's don't I'LL x\x1cy\x1f z\x85w q　r <|endoftext|>abc<|startoftext|> <|x 12³½ ǅ é Å ﬁ 你好 שלום​ \U0001f600‍ a", "a" * 5000, "x'S 'T'Re a.,b. c.' d!", "̀a ͅ ᾳ", "᠎ ​﻿", "\x00 \x01", "word, word. word; 'll"]
+STRANGE = ["", "  ", "İstanbul ΣΑΣ ΟΔΟΣ's don't I'LL x\x1cy\x1f z\x85w q　r <|endoftext|>abc<|startoftext|> <|x 12³½ ǅ é Å ﬁ 你好 שלום​ \U0001f600‍ a", "a" * 5000, "x'S 'T'Re a.,b. c.' d!", "̀a ͅ ᾳ", "᠎ ​﻿", "\x00 \x01", "word, word. word; 'll", "<|endoftext|>", "<|startoftext|>zzqq unseen<|endoftext|>"]
 
 
 def test_bpe_equals_the_library(spark):
