@@ -14,11 +14,21 @@ from pyspark.sql import functions as F
 ID, TEXT = "doc_id", "text"
 #: Ids that may be broadcast, a few MB; beyond, rows are joined by a shuffle.
 BROADCAST_IDS = 200_000
+#: Bytes of an Arrow batch: texts are long, and each Python worker holds a batch several times over.
+BATCH_BYTES, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Of a sample of n, so many times n rows are drawn by hash before the n of least hash are taken.
 OVERSAMPLING, DRAW = 3, 1_000_003
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches in this session, unless it has a bound of its own (the default is in plain bytes)."""
+    held = spark.conf.get(BATCH_SETTING).rstrip("bB")
+    if held.isdigit() and int(held) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -60,6 +70,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        text_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dramatis.llm.common import ID, TEXT, drawn, fresh_name, slices, table
+from dramatis.llm.common import ID, TEXT, drawn, fresh_name, slices, table, text_batches
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 PER_LANGUAGE, PER_DOCUMENT, EPOCHS, BATCH, RATE, SEED = 400, 3, 4, 64, 0.01, 3
@@ -206,6 +206,7 @@ def answered(net: Network | None, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
 
 def predicted(docs: DataFrame, net: Network | None, text_col: str = TEXT) -> Column:
     """A column (lang string, score double) over ``text_col``."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.arrow_udf("lang string, score double")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dramatis.llm.common import ID, TEXT, drawn, mapped, table
+from dramatis.llm.common import ID, TEXT, drawn, mapped, table, text_batches
 
 # The patterns of the contract, in its order, with the least length of what they must hold.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -145,6 +145,8 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[secret]")
 def redacted(docs: DataFrame, models: Models, text_col: str = TEXT, length_col: str = "n_chars") -> DataFrame:
     """The documents with secrets replaced, and ``length_col``, if there is one, brought up to date."""
 
+    text_batches(docs.sparkSession)
+
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
         return mapped(texts, lambda t: t and redact(t, find_spans(t, models)), pa.string())
