@@ -1,0 +1,222 @@
+"""Near copies by exact Jaccard similarity of word shingles, of which no pair is lost.
+
+Method: prefix filtering. A text stands for the set of its shingles of ``words`` words. In any fixed order of all
+shingles, two sets of similarity ``least`` share one of their first n - ceil(least * n) + 1, so
+pairs that meet in no such prefix need not be looked at. Shingles that are frequent in a sample of documents
+come last in the order; the sample decides how many candidates there are, never which pairs are found.
+Candidates pass two bounds (by the sizes, and by the places of the shared shingle in both sets) and are
+then checked on their full sets.
+
+Links join into components, so pairs that are joined already need no check. Buckets of at most ALL_PAIRS sets
+give all their pairs at once. Larger ones first give pairs of neighbours by size, and then those
+pairs whose components still differ.
+
+Fingerprints of few bits cannot do this: at similarity 0.8 they differ in 2 to 11 bits of 64 and more, and a covering
+code for 11 bits has 4,095 masks.
+
+Defined results: words are cut at whitespace after lowering ASCII; a text of fewer than ``words`` words is one shingle.
+A null text counts as empty; texts without a word are one group. Equal sets are one group. Shingles and sets
+are told apart by 64 bits. A null id never becomes a component's id unless all its ids are null. An empty
+table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from dramatis.llm.common import BROADCAST_IDS, ID, TEXT, Scratch, drawn, only_kept
+from dramatis.llm.simhash import components
+
+WORDS, LEAST, SEED = 5, 0.8, 42
+#: Documents of which shingles are counted for the order, least count there, and shingles that are broadcast (under 1 MB).
+ORDER_DOCS, ORDER_COUNT, ORDER_SHINGLES = 1500, 3, 50_000
+#: Sets of a bucket up to which all pairs are checked at once, and distances of neighbours that are checked first in larger ones.
+ALL_PAIRS, NEIGHBOURS = 32, (1, 2, 4, 8)
+#: Candidate pairs that are sent on at once.
+CHUNK = 100_000
+
+
+def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+    """The distinct XXH64 of all word shingles, ascending."""
+    parts = text.lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(parts)
+    if len(parts) <= words:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.cumsum(lengths + 1) - 1
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip((ends - lengths)[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, len(parts) - words + 1))
+
+
+def set_id(of: np.ndarray) -> int:
+    """A set's node, as a signed long."""
+    return int(np.array([xxhash.xxh3_64_intdigest(of.tobytes())], np.uint64).view(np.int64)[0])
+
+
+def prefix_length(n: int, least: Fraction) -> int:
+    return n - -(-least.numerator * n // least.denominator) + 1
+
+
+def sets_of(docs: DataFrame, words: int, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
+    """doc_id, node and all shingles of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [shingles(t.as_py() or b"", words) for t in part.column(1)]
+                nodes = pa.array([set_id(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), nodes, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "node", "shingles"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, node long, shingles array<long>")
+
+
+def shingle_order(docs: DataFrame, words: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, ascending, with their counts in a sample."""
+    sample = docs.where(drawn(F.col(id_col), ORDER_DOCS, F.lit(docs.count())))
+    counts = sets_of(sample, words, id_col, text_col).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.where(F.col("n") >= ORDER_COUNT).orderBy(F.desc("n"), "s").limit(ORDER_SHINGLES).collect()
+    keys = np.array([r.s for r in rows], np.int64).view(np.uint64)
+    by = np.argsort(keys)
+    return keys[by], np.array([r.n for r in rows], np.int64)[by]
+
+
+def prefixes(docs: DataFrame, words: int, least: Fraction, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
+    """doc_id, node, size n and prefix of each document."""
+    shared = docs.sparkSession.sparkContext.broadcast(shingle_order(docs, words, id_col, text_col))
+
+    def prefix(of: np.ndarray) -> np.ndarray:
+        keys, counts = shared.value
+        if not len(of):
+            return of.view(np.int64)
+        count = np.zeros(len(of), np.int64)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
+            count = np.where(keys[at] == of, counts[at], 0)
+        return of[np.argsort(count, kind="stable")[: prefix_length(len(of), least)]].view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [shingles(t.as_py() or b"", words) for t in part.column(1)]
+                columns = [part.column(0), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([prefix(s) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "prefix"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, node long, n long, prefix array<long>")
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows sorted by their first column, cut only where it changes."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([c.to_numpy() for c in batch.columns], 1)
+        first = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+        if first or held and held[-1][-1, 0] != rows[0, 0]:
+            out = np.concatenate([*held, rows[:first]])
+            if first == 0 or len(out):
+                yield out
+            held = []
+        held.append(rows[first:])
+    if held:
+        yield np.concatenate(held)
+
+
+def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (token, n, node, place) in this order: those of buckets of two sets or more, once each, with the size of the bucket."""
+    for rows in whole_buckets(batches):
+        rows = rows[np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(1)])]
+        _, group, sizes = np.unique(rows[:, 0], return_inverse=True, return_counts=True)
+        size = sizes[group]
+        rows, size = rows[size > 1], size[size > 1]
+        yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, k]) for k in range(4)), pa.array(size)], ["token", "n", "node", "place", "bucket"])
+
+
+def candidate_pairs(least: Fraction, near: bool):
+    """From rows (token, n, node, place, bucket, label) in this order: pairs (a, b) that may be similar. ``near``: of large buckets only neighbours; else all pairs of differing labels."""
+    p, q = least.numerator, least.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_buckets(batches):
+            token, n, node, place, bucket, label = rows.T
+            at, lag, held, waiting = np.arange(len(rows)), 1, [], 0
+            while True:
+                at = at[at + lag < len(rows)]
+                at = at[(token[at] == token[at + lag]) & (q * n[at] >= p * n[at + lag])]  # sizes ascend, so farther ones differ more
+                if not len(at):
+                    break
+                some = at[(bucket[at] <= ALL_PAIRS) | (lag in NEIGHBOURS)] if near else at[label[at] != label[at + lag]]
+                a, b = some, some + lag
+                common = 1 + np.minimum(n[a] - place[a], n[b] - place[b]) - 1
+                ok = (p + q) * common >= p * (n[a] + n[b])
+                a, b = node[a[ok]], node[b[ok]]
+                held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+                waiting += len(a)
+                if waiting >= CHUNK:
+                    pairs = np.unique(np.concatenate(held), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                    held, waiting = [], 0
+                lag += 1
+            if waiting:
+                pairs = np.unique(np.concatenate(held), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, words: int = WORDS, least: float = LEAST, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
+    """One row per document: doc_id, node (its set), component_id (the least id of all that pairs of similarity ``least`` or more connect)."""
+    spark, bound = docs.sparkSession, Fraction(str(least))
+    if not 0 < bound <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+    scratch = Scratch(spark, "similar")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    of_doc = scratch.keep(prefixes(docs, words, bound, id_col, text_col), "prefixes")
+    nodes = scratch.keep(of_doc.groupBy("node").agg(F.min("doc_id").alias("least_id")), "nodes")
+    tokens = of_doc.select("n", "node", F.posexplode("prefix").alias("place", "token")).select("token", "n", "node", F.col("place").cast("long"))
+    shared = scratch.keep(tokens.repartition(width, "token").sortWithinPartitions("token", "n", "node").mapInArrow(shared_rows, "token long, n long, node long, place long, bucket long"), "shared")
+
+    def pairs_of(rows: DataFrame, near: bool, name: str) -> DataFrame:
+        dealt = rows.repartition(width, "token").sortWithinPartitions("token", "n", "node").select("token", "n", "node", "place", "bucket", "label")
+        return scratch.keep(dealt.mapInArrow(candidate_pairs(bound, near), "a long, b long").distinct(), name)
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that are similar, by the full sets of the documents they are about."""
+        about = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"), f"about_{name}")
+        ids = about.select(F.col("least_id").alias("wanted_id")).distinct()
+        if about.count() <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
+        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+        sets = scratch.keep(sets_of(texts, words, "doc_id", "text").dropDuplicates(["node"]).select("node", "shingles"), f"sets_{name}")
+        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        common = F.size(F.array_intersect("x", "y")) * (bound.numerator + bound.denominator)
+        return scratch.keep(both.where(common >= bound.numerator * (F.size("x") + F.size("y"))).select("a", "b"), f"links_{name}")
+
+    links = checked(pairs_of(shared.withColumn("label", F.col("node")), True, "pairs"), "first")
+    labels = components(links, scratch)
+    large = shared.where(F.col("bucket") > ALL_PAIRS)
+    if not large.isEmpty():
+        told = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        links = links.unionByName(checked(pairs_of(told, False, "more_pairs"), "second"))
+        labels = components(links, scratch)
+    rooted = scratch.keep(nodes.join(labels, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("root")), "rooted")
+    least_ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = scratch.keep(rooted.join(least_ids, "root").select("node", "component_id"), "named")
+    scratch.drop("shared")
+    return of_doc.join(named, "node").select("doc_id", "node", "component_id")
+
+
+def kept_documents(docs: DataFrame, words: int = WORDS, least: float = LEAST, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
+    """The document of least id of each component, with all its columns."""
+    return only_kept(docs, id_col, similar_groups(docs, words, least, id_col, text_col).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id"))))
