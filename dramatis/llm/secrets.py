@@ -3,8 +3,9 @@
 Method: two first-order Markov models over characters, one of random strings and one of ordinary
 identifiers, are trained on labelled samples: random strings of a seeded generator over the
 alphabets that keys are written in, and identifiers put together from the words of the corpus. A
-run of key characters of CANDIDATE or more, outside all pattern matches, is a secret if the
-ratio is above MARGIN per character. Every text is scanned whole.
+run of key characters of CANDIDATE or more, or what pattern matches leave of it, is a secret if the
+ratio is above MARGIN per character. If it is not, its best-scoring stretches of CANDIDATE or more are, each as far as
+the separators around it, so that a name or path beside a key does not hide it. Every text is scanned whole.
 
 Training reads the words of at most TRAINING_DOCS documents, those least by hash of their id; that
 bound is the parameter ``training_docs``.
@@ -38,6 +39,7 @@ WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 #: Least length of a candidate of the models, and the mean log-likelihood ratio per character above which it is one.
 CANDIDATE, MARGIN = 20, 0.8
+SEPARATORS = "=/_-"
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 TRAINING_DOCS, SEED = 2000, 11
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -84,9 +86,37 @@ class Models:
                 at = i + 1
         return np.log(counts / counts.sum(1, keepdims=True))
 
-    def score(self, run: str) -> float:
+    def ratios(self, run: str) -> np.ndarray:
+        """Of each character after the one before it."""
         codes = np.fromiter((self.code[c] for c in run), np.int64, len(run))
-        return float(self.ratio[np.concatenate([[0], codes[:-1] + 1]), codes].sum()) / len(run)
+        return self.ratio[np.concatenate([[0], codes[:-1] + 1]), codes]
+
+    def score(self, run: str) -> float:
+        return float(self.ratios(run).sum()) / len(run)
+
+    def stretches(self, run: str) -> list[tuple[int, int]]:
+        """(start, end) of the random parts of a run: all of it, or its best-scoring stretches of CANDIDATE characters or more, up to the next separators."""
+        if self.score(run) > MARGIN:
+            return [(0, len(run))]
+        total = np.concatenate([[0.0], np.cumsum(self.ratios(run) - MARGIN)])
+        found, parts = [], [(0, len(run))]
+        while parts:
+            start, end = parts.pop()
+            if end - start < CANDIDATE:
+                continue
+            own = total[start : end + 1]
+            gain = own[CANDIDATE:] - np.minimum.accumulate(own[: len(own) - CANDIDATE])
+            last = int(gain.argmax())
+            if gain[last] <= 0:
+                continue
+            a, b = start + int(own[: last + 1].argmin()), start + last + CANDIDATE
+            while a > start and run[a - 1] not in SEPARATORS:
+                a -= 1
+            while b < end and run[b] not in SEPARATORS:
+                b += 1
+            found.append((a, b))
+            parts += [(start, a), (b, end)]
+        return found
 
 
 def find_spans(text: str, models: Models) -> list[tuple[int, int, int]]:
@@ -101,8 +131,11 @@ def find_spans(text: str, models: Models) -> list[tuple[int, int, int]]:
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
         base = sorted(found)
         for m in RUN.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, _, e in base) and models.score(m[0]) > MARGIN:
-                found.append((m.start(), 3, m.end()))
+            at = m.start()
+            for s, e in [(s, e) for s, _, e in base if s < m.end() and m.start() < e] + [(m.end(), m.end())]:
+                if s - at >= CANDIDATE:
+                    found += [(at + a, 3, at + b) for a, b in models.stretches(text[at:s])]
+                at = max(at, e)
     return sorted(found)
 
 
