@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Column names of the corpus tables.
 ID, TEXT = "doc_id", "text"
@@ -88,13 +89,32 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def only_kept(docs: DataFrame, id_col: str, decisions: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay by ``decisions`` (id, kept), with all their columns. Rows that share an id stay if any of them does."""
-    name = fresh_name(docs, "dropped_id")
-    dropped = decisions.toDF("id", "kept").groupBy("id").agg(F.bool_or("kept").alias("kept")).where("not kept").select(F.col("id").alias(name))
-    ids = Scratch(docs.sparkSession, "dropped").keep(dropped, "ids")
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, F.col(id_col).cast("long").eqNullSafe(F.col(name)), "left_anti")
+def only_kept(docs: DataFrame, id_col: str, decisions: DataFrame, key: Column | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay by ``decisions``, with all their columns.
+
+    ``decisions`` are (id, kept), and rows that share an id stay if any of them does; or, with ``key``, a column over
+    ``docs`` that tells texts apart, (id, kept, group, key): then of the kept rows of one id and group one stays, of the least key.
+    ``key`` is computed only for rows of ids that repeat.
+    """
+    name, key_name = fresh_name(docs, "dropped_id"), fresh_name(docs, "kept_key")
+    scratch = Scratch(docs.sparkSession, "dropped")
+    same_id = F.col(id_col).cast("long").eqNullSafe(F.col(name))
+    decisions = decisions.toDF("id", "kept", *(["group", "key"] if key is not None else []))
+    by_id = decisions.groupBy("id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    told = scratch.keep(by_id.where(F.expr("not kept") if key is None else F.expr("not kept or n > 1")).select(F.col("id").alias(name), "kept"), "ids")
+    spread = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    out = docs.join(spread(told.select(name)), same_id, "left_anti")
+    mixed = told.where("kept").select(name)
+    if key is None or mixed.isEmpty():
+        return out
+    repeated = decisions.where("kept").join(spread(mixed), F.col("id").eqNullSafe(F.col(name)), "left_semi")
+    staying = scratch.keep(repeated.groupBy("id", "group").agg(F.min("key").alias(key_name)).select(F.col("id").alias(name), key_name), "staying")
+    keyed = docs.join(spread(mixed), same_id, "left_semi").withColumn(fresh_name(docs, "own_key"), key)
+    own = F.col(fresh_name(docs, "own_key"))
+    again = keyed.join(staying, same_id & own.eqNullSafe(F.col(key_name)))
+    first = F.row_number().over(Window.partitionBy(name, key_name).orderBy(F.lit(1)))
+    rank = fresh_name(docs, "row_rank")
+    return out.unionByName(again.withColumn(rank, first).where(F.col(rank) == 1).select(*docs.columns))
 
 
 def drawn(rows: Column, wanted: int, total: Column) -> Column:

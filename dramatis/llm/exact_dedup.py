@@ -122,8 +122,9 @@ def exact_groups(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, digest
 
 
 def kept_documents(docs: DataFrame, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    return only_kept(docs, id_col, exact_groups(docs, id_col, text_col).select("doc_id", "kept"))
+    """The documents that stay, with all their columns; of rows equal in id and text, one."""
+    digest = F.unhex("text_sha256")
+    return only_kept(docs, id_col, exact_groups(docs, id_col, text_col).select("doc_id", "kept", digest, digest), digest_udf(sha256)(F.col(text_col)))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dramatis.llm.common import BROADCAST_IDS, ID, TEXT, Scratch, drawn, only_kept
+from dramatis.llm.common import BROADCAST_IDS, ID, TEXT, Scratch, drawn, mapped, only_kept
 from dramatis.llm.simhash import components
 
 WORDS, LEAST, SEED = 5, 0.8, 42
@@ -176,7 +176,7 @@ def candidate_pairs(least: Fraction, near: bool):
 
 
 def similar_groups(docs: DataFrame, words: int = WORDS, least: float = LEAST, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
-    """One row per document: doc_id, node (its set), component_id (the least id of all that pairs of similarity ``least`` or more connect)."""
+    """One row per document: doc_id, node (its set), root (the least node of its component), component_id (the least id of all that pairs of similarity ``least`` or more connect)."""
     spark, bound = docs.sparkSession, Fraction(str(least))
     if not 0 < bound <= 1:
         raise ValueError("least must be above 0 and at most 1")
@@ -212,11 +212,17 @@ def similar_groups(docs: DataFrame, words: int = WORDS, least: float = LEAST, id
         labels = components(links, scratch)
     rooted = scratch.keep(nodes.join(labels, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("root")), "rooted")
     least_ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = scratch.keep(rooted.join(least_ids, "root").select("node", "component_id"), "named")
+    named = scratch.keep(rooted.join(least_ids, "root").select("node", "root", "component_id"), "named")
     scratch.drop("shared")
-    return of_doc.join(named, "node").select("doc_id", "node", "component_id")
+    return of_doc.join(named, "node").select("doc_id", "node", "root", "component_id")
 
 
 def kept_documents(docs: DataFrame, words: int = WORDS, least: float = LEAST, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
-    """The document of least id of each component, with all its columns."""
-    return only_kept(docs, id_col, similar_groups(docs, words, least, id_col, text_col).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """The document of least id of each component, with all its columns; of several rows of that id in one component, one of the least node."""
+
+    @F.arrow_udf("long")
+    def node(texts: pa.Array) -> pa.Array:
+        return mapped(texts.cast(pa.binary()), lambda t: set_id(shingles(t or b"", words)), pa.int64())
+
+    groups = similar_groups(docs, words, least, id_col, text_col).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")), "root", "node")
+    return only_kept(docs, id_col, groups, node(F.col(text_col)))

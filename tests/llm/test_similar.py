@@ -64,3 +64,19 @@ def test_near_stage_reaches_similarity(spark):
     assert (brute_fingerprint(rows[0][1]) ^ brute_fingerprint(rows[1][1])).bit_count() > 2
     assert brute_groups(rows) == {0: 0, 1: 0, 5: 5}
     assert {r.doc_id for r in corpus_pipeline.near(spark, spark.createDataFrame(rows, ROW), "").collect()} == {0, 5}
+
+
+def test_repeated_ids(spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(120)]
+    a, b = " ".join(words), " ".join(rng.sample(words, 120))
+    frame = lambda rows: spark.createDataFrame(rows, ROW)
+    rows = lambda out: sorted((r.doc_id, r.text) for r in out.collect())
+    # (5, a) goes for (9, a) although (5, b) stays; of the row (9, a) ingested twice one stays.
+    assert rows(corpus_pipeline.exact(spark, frame([(5, a), (5, b), (9, a), (9, a), (1, a)]), "")) == sorted([(5, b), (9, a)])
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.exact(spark, frame([(None, a), (None, a), (None, b), (3, b)]), "").collect()} == {(None, a), (3, b)}
+    # (5, a) goes for (2, near a); (5, b) stays once, and of the near copies (7, c) and (7, near c) one stays.
+    c = " ".join(f"x{k}" for k in range(120))
+    near_a, near_c = (edited(rng, t.split(), 1) for t in (a, c))
+    out = rows(corpus_pipeline.near(spark, frame([(5, a), (2, near_a), (5, b), (5, b), (7, c), (7, near_c)]), ""))
+    assert len(out) == 3 and out[:2] == [(2, near_a), (5, b)] and out[2] in [(7, c), (7, near_c)]
