@@ -15,7 +15,9 @@ Integer products are exact: in float64 while dimension * largest component squar
 
 Defined results: vectors that are null, or hold a null or a non-finite component, take no part. Nor do vectors whose
 length differs from the query's. Rows that repeat a vec_id are candidates of their own, except
-for queries of that id. Fewer rows than k give all. An empty table gives an empty result.
+for queries of that id. Where query rows repeat a vec_id, each distinct vector of it is searched once, and the k best of
+all their pairs are the id's, as in the SQL; a candidate may be there once for each. Rows of null vec_id neither ask nor
+are candidates. Fewer rows than k give all. An empty table gives an empty result.
 Components must keep products within a long.
 """
 
@@ -138,7 +140,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, i
     spark = rows.sparkSession
     scratch = Scratch(spark, "topk")
     vectors = integer_vectors(rows, id_col, vector_col, scale)
-    asked = scratch.keep(integer_vectors(queries, id_col, vector_col, scale).where("vec_id is not null").dropDuplicates(["vec_id"]), "queries")
+    asked = scratch.keep(integer_vectors(queries, id_col, vector_col, scale).where("vec_id is not null").dropDuplicates(["vec_id", "v"]), "queries")
     total = asked.agg(F.coalesce(F.sum(F.size("v") * 8 + 64), F.lit(0)).alias("bytes")).first().bytes
     blocks = max(1, -(-2 * int(total) // block_bytes))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))

@@ -385,6 +385,16 @@ def test_top_k(spark, block_bytes):
     assert topk.top_k(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_top_k_of_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(8)
+    vectors = [rng.integers(-9, 10, 16).astype(float).tolist() for _ in range(60)]
+    rows = [(k + 1, v) for k, v in enumerate(vectors[:50])] + [(100, v) for v in vectors[50:54]] + [(100, vectors[50]), (None, [99.0] * 16)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = [(r["rank"], r.vec_id, r.score) for r in topk.top_k(frame, frame.where("vec_id % 100 = 0"), scale=1).collect()]
+    best = sorted((-int(np.dot(q, v)), i) for q in vectors[50:54] for i, v in rows if i not in (100, None))[:10]
+    assert sorted(got) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
 # 10
 
 
