@@ -366,6 +366,12 @@ def test_secrets_beside_names_and_matches():
     assert not secrets.find_spans(plain, models) and not secrets.find_spans("-" * 60 + " " + "=" * 40, models)
 
 
+def test_secrets_training_bounds(spark):
+    frame = spark.createDataFrame([(k, f"{'ab'[k % 2]}{chr(97 + k)} word") for k in range(20)], "doc_id long, text string")
+    whole = secrets.training_words(frame)
+    assert len(whole) == 21 and secrets.training_words(frame, most_words=5) == whole[:5]
+
+
 # 9
 
 
