@@ -8,7 +8,7 @@ text is the mean of the log-probabilities over all its windows, weighted by thei
 As an input byte selects a row of a filter's weights, a filter of width two is one look-up in a table over
 byte pairs; wider ones are sums of such look-ups.
 
-Training reads at most PER_LANGUAGE documents of each language, those least by hash of their id, and at most
+Training reads at most PER_LANGUAGE documents of each language, those least by hash of their id (where ids repeat, one row of each, of least text), and at most
 PER_DOCUMENT windows of each; both are parameters. Of the id only the split into training and held-out rows is
 derived; language, source and id are no inputs.
 
@@ -21,6 +21,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -161,12 +163,16 @@ def held_out(doc_id: Column) -> Column:
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = ID, text_col: str = TEXT, lang_col: str = "lang") -> list[tuple[bytes, str]]:
     """A bounded sample of labelled documents: ids first, from slim columns, then the texts of those."""
     usable = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
-    slim = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    slim = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).distinct()
     counts = slim.groupBy("lang").agg(F.count(F.lit(1)).alias("total"))  # one row a language
     slim = slim.join(F.broadcast(counts), "lang").where(drawn(F.col("id"), per_language, F.col("total")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    ids = [r.id for r in slim.withColumn("rank", rank).where(F.col("rank") <= per_language).collect()]
-    rows = usable.where(F.col(id_col).isin(ids)).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang")).where("text is not null").collect()
+    ids: dict[str, list] = {}
+    for r in slim.withColumn("rank", rank).where(F.col("rank") <= per_language).collect():
+        ids.setdefault(r.lang, []).append(r.id)
+    sampled = reduce(or_, [(F.col(lang_col) == lang) & F.col(id_col).isin(own) for lang, own in ids.items()], F.lit(False))
+    texts = usable.where(sampled).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang"))
+    rows = texts.groupBy("id", "lang").agg(F.min("text").alias("text")).where("text is not null").collect()  # one row an id and language
     return [(bytes(r.text), r.lang) for r in sorted(rows, key=lambda r: (r.id, r.lang, bytes(r.text)))]
 
 

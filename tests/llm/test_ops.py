@@ -370,6 +370,17 @@ def test_secrets_training_bounds(spark):
     frame = spark.createDataFrame([(k, f"{'ab'[k % 2]}{chr(97 + k)} word") for k in range(20)], "doc_id long, text string")
     whole = secrets.training_words(frame)
     assert len(whole) == 21 and secrets.training_words(frame, most_words=5) == whole[:5]
+    again = spark.createDataFrame([(1, f"w{'abcdefghij'[k]} x{'abcdefghij'[k]}") for k in range(10)], "doc_id long, text string")
+    assert secrets.training_words(again.withColumn("text", F.concat("text", F.lit(" same"), "text"))).__len__() <= 4  # one row of an id
+
+
+def test_langid_sample_of_repeated_ids(spark):
+    rows = [(2, f"text {k}", "en") for k in range(50)] + [(2, "andere", "de")] + [(k, f"text {k}", "en") for k in range(3, 40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.training_sample(frame, 1000)
+    usable = {(i, lang) for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert len(got) == len(usable)
+    assert len([x for x in langid.training_sample(frame, 5) if x[1] == "en"]) == 5
 
 
 # 9
