@@ -1,32 +1,36 @@
 """Removal of repeated byte strings by depth-limited radix sort of suffixes.
 
-Method: two suffixes matter to each other only if their first THRESHOLD bytes are equal, so they are sorted
+Method: two suffixes matter to each other only if their first THRESHOLD bytes are equal, so they are dealt into groups
 only that deep, by most-significant-digit passes that drop a suffix as soon as it is alone. The groups
-left at full depth are exactly the repeated windows.
+left at full depth are exactly the repeated windows. A pass groups by shuffle and counts map-side, so no group
+has to fit into a task; rows carry locators and digests, never text; all sizes take the same way.
 
 1. The first digit is one that every window carries and that needs few rows: its anchor, the GRAM bytes
    of least hash in the window (leftmost on ties). Equal windows have equal anchors at equal
-   offsets. Consecutive windows share their anchor, so a document gives a run of windows for
+   distances. Consecutive windows share their anchor, so a document gives a run of windows for
    about every 80 bytes. Runs whose anchor occurs once are alone and go.
-2. The second digit is the whole text of the run. Runs that are equal as a whole are repeated, window by
-   window, however many there are; they are counted map-side.
-3. What is left are different runs of one anchor, at the edges of repeated passages. Each distinct run is fetched once,
-   and the suffixes at equal offsets from the anchor are radix-sorted by eight bytes a pass in the
-   task that has the anchor. Anchors with more than HOT distinct runs would overload it; their runs are
-   dealt out in pieces of some windows, and at last in windows, which are counted by their whole content instead.
+2. Runs that are equal as a whole are repeated, window by window, however many there are; one of them stays to
+   stand for the others.
+3. What is left are different runs of one anchor, at the edges of repeated passages. The further digits are the bytes
+   around the anchor. A pass cuts a run into pieces by the distance from window to anchor, WIDTHS[k] distances each, so that all
+   windows of a piece hold the same THRESHOLD - WIDTHS[k] + 1 bytes; these are its digit. Pieces alone with their digit go, pieces that are equal as a
+   whole are repeated and leave one of them, the rest goes on. At the last pass a piece is one window, and its
+   digit is all of its bytes.
 
-Hashes of grams and runs are 64 bits each, and two runs count as equal only if both agree; windows in step 3 are
-compared byte by byte, or by a 128-bit digest for hot anchors (where a piece also holds its distance from the anchor).
+Digits, runs and windows are told apart by 128 bits of BLAKE2b over their bytes; anchors by 64 bits of another hash, which only
+deal rows out and never decide on equality.
 
 Defined results: a null text counts as empty; texts under THRESHOLD bytes lose nothing. Rows that repeat id and text are occurrences
-of their own, so all of them lose what they share. An empty table gives an empty result.
+of their own, so all of them lose what they share. Rows of one id, null ids too, keep apart by a 64-bit hash of their texts. Very long texts are worked on in parts of PART bytes. Extra
+columns, whatever their names, are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +42,8 @@ from dramatis.llm.common import ID, TEXT, Scratch, table
 THRESHOLD, GRAM = 200, 40
 #: Bytes of a text that are worked on at once; windows that cross are in the next part as well.
 PART = 1 << 20
-#: Distinct runs of an anchor beyond which its windows are dealt out singly.
-HOT = 256
-#: Windows of the pieces in which runs of hot anchors are dealt out, step by step.
-PIECES = (16, 1)
-#: Windows that one radix sort takes.
-SORTED_AT_ONCE = 400_000
+#: Distances from window to anchor that a piece spans, pass by pass; each divides the one before.
+WIDTHS = (36, 6, 1)
 #: Documents that may be named in a broadcast; beyond, their texts are joined by a shuffle. At 16 bytes each: 5 MB.
 BROADCAST_DOCS = 300_000
 FACTOR = 0x9E3779B97F4A7C15
@@ -76,8 +76,17 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(to_right[: n - width + 1], from_left[width - 1 : n])
 
 
+def digests(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each part, in two longs."""
+    both = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in parts]), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 def runs_of(text: np.ndarray, threshold: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of one part: for each run the first window, number of windows, offset of its anchor, hash of the anchor, hash of the run."""
+    """Of one part: for each run the first window, number of windows, offset of its anchor, hash of the anchor, digest of all its bytes.
+
+    The bytes fix the windows and the place of the anchor, so equal digests mean runs that are equal in all this.
+    """
     up, down, number = powers()
     sums = np.concatenate([[np.uint64(0)], np.cumsum(number[text] * up[: len(text)])])
     n = len(text) - gram + 1
@@ -86,9 +95,9 @@ def runs_of(text: np.ndarray, threshold: int, gram: int) -> tuple[np.ndarray, ..
     first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
     count = np.diff(np.concatenate([first, [len(least)]]))
     at = (least[first] & LOW).astype(np.int64)
-    whole = (sums[first + count - 1 + threshold] - sums[first]) * down[first]
-    shape = ((at - first) << 32 | count).astype(np.uint64)
-    return first, count, at - first, grams[at].view(np.int64), mixed(whole ^ mixed(shape + np.uint64(1))).view(np.int64)
+    held = memoryview(text)
+    whole = digests([held[a:b] for a, b in zip(first.tolist(), (first + count - 1 + threshold).tolist(), strict=True)])
+    return first, count, at - first, grams[at].view(np.int64), *whole
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -97,7 +106,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
 
-RUN = "doc_id long, text_key long, first int, count int, offset int, anchor long, run long"
+RUN = "doc_id long, text_key long, first int, count int, offset int, anchor long, run long, run_low long"
 
 
 def all_runs(docs: DataFrame, threshold: int, gram: int) -> DataFrame:
@@ -115,173 +124,107 @@ def all_runs(docs: DataFrame, threshold: int, gram: int) -> DataFrame:
             if not rows:
                 continue
             owner = np.repeat(owners, sizes)
-            first, count, offset, anchor, whole = (np.concatenate(x) for x in zip(*rows, strict=True))
+            first, count, offset, anchor, whole, low = (np.concatenate(x) for x in zip(*rows, strict=True))
             owner = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(offset.astype(np.int32)), pa.array(anchor), pa.array(whole)], ["doc_id", "text_key", "first", "count", "offset", "anchor", "run"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(offset.astype(np.int32)), pa.array(anchor), pa.array(whole), pa.array(low)], ["doc_id", "text_key", "first", "count", "offset", "anchor", "run", "run_low"])
 
     return docs.mapInArrow(run, RUN)
 
 
-def radix_groups(data: np.ndarray, start: np.ndarray, first_digit: np.ndarray, depth: int) -> np.ndarray:
-    """Whether the ``depth`` bytes from each start also stand at another start of equal first digit.
+PIECE = "cell int, digit long, digit_low long, own long, own_low long, whole boolean, doc_id long, text_key long, first int, inner int, n int"
 
-    Most-significant-digit passes of eight bytes; a pass sorts within the groups of the one before, only groups
-    whose members differ in the digit, and drops members that are alone.
-    """
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    digits = np.zeros(len(data), np.uint64)
-    for k in range(8):
-        digits |= padded[k : k + len(data)] << np.uint64(56 - 8 * k)
-    order = np.argsort(first_digit, kind="stable")
-    group = first_digit[order]
-    for at in range(0, depth, 8):
-        new = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
-        number = np.cumsum(new) - 1
-        alone = np.bincount(number)[number] == 1 if len(group) else new
-        order, number = order[~alone], number[~alone]
-        if not len(order):
-            break
-        digit = digits[start[order] + at]
-        if depth - at < 8:
-            digit = digit >> np.uint64(8 * (8 - depth + at))
-        new = np.concatenate([[True], number[1:] != number[:-1]])
-        head = np.flatnonzero(new)
-        differs = np.zeros(int(number.max()) + 1, bool)
-        differs[number[digit != digit[head[np.cumsum(new) - 1]]]] = True
-        unequal = np.flatnonzero(differs[number])
-        if len(unequal):
-            moved = unequal[np.lexsort((digit[unequal], number[unequal]))]
-            order[unequal], digit[unequal] = order[moved], digit[moved]
-        group = np.cumsum(np.concatenate([[True], (number[1:] != number[:-1]) | (digit[1:] != digit[:-1])]))
-    new = np.concatenate([[True], group[1:] != group[:-1]]) if len(order) else np.zeros(0, bool)
-    number = np.cumsum(new) - 1
-    out = np.zeros(len(start), bool)
-    if len(order):
-        out[order[np.bincount(number)[number] > 1]] = True
-    return out
-
-
-SPAN = "doc_id long, text_key long, a int, b int"
-
-
-def contested_spans(threshold: int):
-    """From distinct runs sorted by anchor (doc_id, text_key, first, count, offset, anchor, whole, content): spans of repeated windows of those that are not repeated as a whole."""
-
-    def solve(t: pa.Table) -> pa.RecordBatch:
-        count, offset, anchor = (t.column(c).to_numpy() for c in ("count", "offset", "anchor"))
-        contents = t.column("content").to_pylist()
-        data = np.frombuffer(b"".join(contents), np.uint8)
-        begin = np.concatenate([[0], np.cumsum([len(c) for c in contents])])[:-1]
-        owner = np.repeat(np.arange(len(count)), count)
-        inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        _, group = np.unique(anchor, return_inverse=True)
-        repeated = radix_groups(data, begin[owner] + inner, group[owner] * (1 << 20) + offset[owner] - inner + (1 << 19), threshold)
-        repeated &= ~t.column("whole").to_numpy(zero_copy_only=False)[owner]
-        return spans(t, owner, inner, repeated, threshold)
+
+def pieces_of_runs(threshold: int, gram: int, wider: int | None, width: int):
+    """From runs with their contents and ``cells`` (cell, whole), the pieces of ``wider`` distances that are left of them (None: a piece is the run): pieces of ``width`` distances."""
+    reach = threshold - gram  # the largest distance
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch])
-            held = rows if held is None else pa.concat_tables([held, rows])
-            if held.column("count").to_numpy().sum() < SORTED_AT_ONCE:
-                continue
-            anchor = held.column("anchor").to_numpy()
-            last = int(np.searchsorted(anchor, anchor[-1]))  # sorted, so the last group may go on
-            if last:
-                yield solve(held.slice(0, last))
-                held = held.slice(last)
-        if held is not None:
-            yield solve(held)
+            owner, cell, inner, sizes, flags, keys, own = [], [], [], [], [], [], []
+            columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("count", "offset", "content", "cells"))
+            for k, (count, offset, content, cells) in enumerate(zip(*columns, strict=True)):
+                least = offset - count + 1
+                for part in cells:
+                    low, high = (part["cell"], min(part["cell"] + wider - 1, offset)) if wider else (0, offset)
+                    for at in range(max(low, least // width * width), high + 1, width):
+                        top, bottom, last = min(at + width - 1, high), max(at, least), min(at + width - 1, reach)
+                        if top < bottom:
+                            continue
+                        owner.append(k)
+                        cell.append(at)
+                        inner.append(offset - top)
+                        sizes.append(top - bottom + 1)
+                        flags.append(part["whole"])
+                        keys.append(content[offset - at : offset + gram + reach - last])
+                        own.append(content[offset - top : offset - bottom + threshold])
+            of = pa.array(owner, pa.int32())
+            found = [pa.array(cell, pa.int32()), *(pa.array(x) for x in (*digests(keys), *digests(own))), pa.array(flags, pa.bool_())]
+            found += [batch.column(batch.schema.get_field_index(c)).take(of) for c in ("doc_id", "text_key", "first")]
+            yield pa.RecordBatch.from_arrays([*found, pa.array(inner, pa.int32()), pa.array(sizes, pa.int32())], [c.split()[0] for c in PIECE.split(", ")])
 
     return run
 
 
-def spans(t: pa.Table, owner: np.ndarray, inner: np.ndarray, repeated: np.ndarray, threshold: int) -> pa.RecordBatch:
-    """Maximal runs of consecutive repeated windows as byte spans of their documents."""
-    at = np.flatnonzero(repeated)
-    new = np.concatenate([[True], (np.diff(at) > 1) | (owner[at][1:] != owner[at][:-1])]) if len(at) else np.zeros(0, bool)
-    start = at[new]
-    end = at[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(at) - 1]])] if len(at) else at
-    of = owner[start]
-    first = t.column("first").to_numpy()[of]
-    return pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks().take(pa.array(of)), t.column("text_key").combine_chunks().take(pa.array(of)), pa.array((first + inner[start]).astype(np.int32)), pa.array((first + inner[end] + threshold).astype(np.int32))], ["doc_id", "text_key", "a", "b"])
+def same_run(names: dict[str, str]):
+    """The condition that ``names`` (of this side: of the other) locate the same text or run; ids may be null."""
+    return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) if a == "doc_id" else F.col(a) == F.col(b) for a, b in names.items()])
 
 
-PIECE = "doc_id long, text_key long, whole boolean, first int, count int, offset int, content binary, piece binary"
-
-
-def pieces_of_runs(threshold: int, width: int):
-    """From runs or pieces with their contents: pieces of ``width`` windows, cut at equal distances from the anchor, with a digest of what decides on equality."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            owner, inner, sizes, parts, digests = [], [], [], [], []
-            for k, (count, offset, content) in enumerate(zip(*(t.column(c).to_pylist() for c in ("count", "offset", "content")), strict=True)):
-                at = 0
-                while at < count:
-                    # Windows whose anchor is (offset - at) bytes in: cut where that is a multiple of the width.
-                    n = min(count - at, (offset - at) % width + 1)
-                    part = content[at : at + n + threshold - 1]
-                    owner.append(k)
-                    inner.append(at)
-                    sizes.append(n)
-                    parts.append(part)
-                    digests.append(hashlib.blake2b(part, digest_size=16, salt=b"%d,%d" % (n, offset - at)).digest())
-                    at += n
-            of = pa.array(owner, pa.int32())
-            columns = {c: t.column(c).combine_chunks().take(of) for c in ("doc_id", "text_key", "whole", "first", "offset")}
-            shift = np.array(inner, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [columns["doc_id"], columns["text_key"], columns["whole"], pa.array(columns["first"].to_numpy() + shift), pa.array(sizes, pa.int32()), pa.array(columns["offset"].to_numpy() - shift), pa.array(parts, pa.binary()), pa.array(digests, pa.binary())],
-                ["doc_id", "text_key", "whole", "first", "count", "offset", "content", "piece"],
-            )
-
-    return run
+def once(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row of those that repeat id and text; only such rows are shuffled."""
+    met = docs.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = scratch.keep(met.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")), "again")
+    if again.isEmpty():
+        return docs
+    same = same_run({"doc_id": "id", "text_key": "key"})
+    return docs.join(again, same, "left_anti").unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text_key"]))
 
 
 def contents(docs: DataFrame, wanted: DataFrame, threshold: int) -> DataFrame:
-    """``wanted`` runs with the bytes that their windows cover. Rows that repeat id and text give a run again; such runs are whole already."""
-    named = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "count", "offset", "anchor", "whole")).alias("runs"))
-    held = docs.join(named.withColumnsRenamed({"doc_id": "id", "text_key": "key"}), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
-    return held.select("doc_id", "text_key", "text", F.explode("runs").alias("r")).select("doc_id", "text_key", "r.*", F.substring(F.col("text"), F.col("r.first") + 1, F.col("r.count") + threshold - 1).alias("content"))
+    """``wanted`` runs with the bytes that their windows cover, each once."""
+    named = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "count", "offset", "whole")).alias("runs"))
+    held = docs.join(named.withColumnsRenamed({"doc_id": "id", "text_key": "key"}), same_run({"doc_id": "id", "text_key": "key"}))
+    one = held.select("doc_id", "text_key", "text", F.explode("runs").alias("r"))
+    return one.select("doc_id", "text_key", "r.*", F.substring(F.col("text"), F.col("r.first") + 1, F.col("r.count") + threshold - 1).alias("content"))
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, threshold: int = THRESHOLD, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame, scratch: Scratch, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
     """Spans (doc_id, text_key, a, b) that cover all repeated windows of ``docs`` (doc_id, text_key, text), and nothing else."""
     runs = scratch.keep(all_runs(docs, threshold, gram), "runs")
-    met = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("run").alias("low"), F.max("run").alias("high"))
-    anchors = scratch.keep(met.where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("several")), "anchors")
+    differs = F.expr("min(run) != max(run) or min(run_low) != max(run_low)")
+    anchors = scratch.keep(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), differs.alias("several")).where("n > 1").select("anchor", "several"), "anchors")
     repeated = scratch.keep(runs.join(anchors, "anchor"), "repeated")
     scratch.drop("runs", "anchors")
     span = lambda df: df.select("doc_id", "text_key", F.col("first").alias("a"), (F.col("first") + F.col("count") - 1 + threshold).alias("b"))
 
-    several = repeated.where("several")
-    distinct = scratch.keep(several.groupBy("anchor", "run").agg((F.count(F.lit(1)) > 1).alias("whole"), F.min(F.struct("doc_id", "text_key", "first", "count", "offset")).alias("r")).select("anchor", "run", "whole", "r.*"), "distinct")
-    whole = span(several.join(distinct.where("whole").select("anchor", "run"), ["anchor", "run"]))
+    several, run = repeated.where("several"), ["anchor", "run", "run_low"]
+    locators = [F.first(c).alias(c) for c in ("doc_id", "text_key", "first", "count", "offset")]
+    distinct = scratch.keep(several.groupBy(*run).agg((F.count(F.lit(1)) > 1).alias("whole"), *locators), "distinct")
+    found = span(repeated.where("not several")).unionByName(span(several.join(distinct.where("whole").select(*run), run)))
 
-    crowded = scratch.keep(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("anchor"), "crowded")
     ids = distinct.select("doc_id", "text_key").distinct()
     few = ids.count() <= BROADCAST_DOCS
     ids = ids.withColumnsRenamed({"doc_id": "id", "text_key": "key"})
-    some = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left_semi")
-    fetched = scratch.keep(contents(some, distinct, threshold), "fetched")
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cool = fetched.join(crowded, "anchor", "left_anti").repartition(width, "anchor").sortWithinPartitions("anchor")
-    edges = cool.mapInArrow(contested_spans(threshold), SPAN)
-    found = span(repeated.where("not several")).unionByName(whole).unionByName(edges)
-    # Runs of hot anchors in pieces, and pieces that stay alone in windows; equal ones are counted map-side at each step.
-    rows = fetched.join(crowded, "anchor", "left_semi")
-    for width in PIECES:
-        pieces = scratch.keep(rows.mapInArrow(pieces_of_runs(threshold, width), PIECE), f"pieces{width}")
-        met = pieces.groupBy("piece").agg(((F.count(F.lit(1)) > 1) | F.max("whole")).alias("whole"), F.min(F.struct("doc_id", "text_key", "first", "count", "offset", "content")).alias("r"))
-        distinct = scratch.keep(met.select("piece", "whole", "r.*"), f"distinct{width}")
-        found = found.unionByName(span(pieces.where("not whole").join(distinct.where("whole").select("piece"), "piece")))
-        rows = distinct
-    return found
+    some = docs.join(F.broadcast(ids) if few else ids, same_run({"doc_id": "id", "text_key": "key"}), "left_semi")
+    fetched = scratch.keep(contents(once(some, scratch), distinct, threshold), "fetched")
+    rows = fetched.select("*", F.array(F.struct(F.lit(0).alias("cell"), "whole")).alias("cells"))
+    wider = None
+    for k, width in enumerate(WIDTHS):
+        pieces = scratch.keep(rows.mapInArrow(pieces_of_runs(threshold, gram, wider, width), PIECE), f"pieces{k}")
+        digit, own = ["cell", "digit", "digit_low"], ["own", "own_low"]
+        locators = [F.first(c).alias(c) for c in ("doc_id", "text_key", "first")]
+        met = scratch.keep(pieces.groupBy(*digit, *own).agg(F.expr("count(1) > 1 or max(whole)").alias("whole"), *locators), f"met{k}")
+        again = pieces.where("not whole").join(met.where("whole").select("cell", *own), ["cell", *own])
+        found = found.unionByName(again.select("doc_id", "text_key", (F.col("first") + F.col("inner")).alias("a"), (F.col("first") + F.col("inner") + F.col("n") - 1 + threshold).alias("b")))
+        if width == 1:
+            return found
+        # Pieces that share their digit with others go on, unless all of them are repeated anyway.
+        open_ = met.groupBy(*digit).agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("all")).where("n > 1 and not all").select(*digit)
+        left = met.join(open_, digit).groupBy("doc_id", "text_key", "first").agg(F.collect_list(F.struct("cell", "whole")).alias("cells"))
+        names = {"doc_id": "id", "text_key": "key", "first": "at"}
+        rows = fetched.join(left.withColumnsRenamed(names), same_run(names)).select(*fetched.columns, "cells")
+        wider = width
+    raise AssertionError("the last width is 1")
 
 
 def cut(text: bytes, found: np.ndarray) -> tuple[int, int, bytes]:
@@ -296,11 +239,11 @@ def cut(text: bytes, found: np.ndarray) -> tuple[int, int, bytes]:
     return int(gone.sum()), starts, np.frombuffer(text, np.uint8)[~gone].tobytes()
 
 
-def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, hot: int = HOT, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
+def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay)."""
     scratch = Scratch(docs.sparkSession, "repeats")
     texts = keyed(docs, id_col, text_col)
-    found = repeated_spans(texts, scratch, threshold, gram, hot)
+    found = repeated_spans(texts, scratch, threshold, gram)
     of_doc = scratch.keep(found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -243,15 +243,15 @@ def brute_repeats(texts, depth):
     return out
 
 
-@pytest.mark.parametrize("hot", [256, 2])
-def test_repeats(spark, hot):
-    rng = random.Random(hot)
+@pytest.mark.parametrize("seed", [256, 2])
+def test_repeats(spark, seed):
+    rng = random.Random(seed)
     passages = ["".join(rng.choices("abcdefgh é", k=rng.randint(20, 200))) for _ in range(6)]
     texts = ["".join(rng.choice(passages)[rng.randint(0, 9) :] if rng.random() < 0.4 else "".join(rng.choices("abcdefgh", k=rng.randint(1, 40))) for _ in range(8)) for _ in range(40)]
     texts += ["ab" * 150, "z" * 100, "", texts[0], "q" * 39, "w" * 40]
     rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (99, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1)).repartition(4)
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.without_repeats(frame, 40, 12, hot).collect())
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.without_repeats(frame, 40, 12).collect())
     assert got == Counter((i, *x) for (i, _), x in zip(rows, brute_repeats([(t or "").encode() for _, t in rows], 40), strict=True))
 
 
@@ -268,13 +268,17 @@ def test_repeats_across_parts_and_empty(spark, none, monkeypatch):
     assert repeats.without_repeats(none).count() == 0
 
 
-def test_radix_groups():
-    rng = np.random.default_rng(1)
-    data = rng.integers(97, 99, 400).astype(np.uint8)
-    for depth in (3, 8, 13, 20):
-        start = np.arange(len(data) - depth + 1)
-        count = Counter(data[s : s + depth].tobytes() for s in start)
-        assert repeats.radix_groups(data, start, np.zeros(len(start), np.int64), depth).tolist() == [count[data[s : s + depth].tobytes()] > 1 for s in start]
+def test_repeats_at_the_contract_threshold(spark):
+    """All documents of the smallest table, with a line that stands in many different surroundings and one that is repeated whole."""
+    rng = random.Random(7)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(n))
+    line, passage = words(26)[:150], words(80)[:420]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(10_000 + k, f"{words(30)} {line} {words(30)}") for k in range(300)] + [(20_000 + k, f"{words(k % 7)} {passage}{line} {words(40)}") for k in range(60)]
+    rows += [(20_001, rows[-59][1]), (None, line * 3), (None, "x" * 5000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.without_repeats(frame).collect())
+    assert got == Counter((i, *x) for (i, _), x in zip(rows, brute_repeats([(t or "").encode() for _, t in rows], 200), strict=True))
 
 
 # 7
