@@ -8,7 +8,10 @@ O(n log n), so one very long word is no special case.
 White space separates words for this family of tokenizers, so whole texts are split at it and
 the pieces are encoded once each and remembered (a bounded table per worker).
 
-Defined results: a null text counts as empty and has no tokens; repeated rows are encoded
+Python's own tables of letters, numbers and lower case agree with the library's on all characters that Python knows as assigned.
+Texts with others go by the library's normaliser, and by its classes, which are read off from it once per worker that meets such a text.
+
+Defined results: a null text counts as empty and has no tokens; an empty table gives an empty result; repeated rows are encoded
 alike and all returned; extra columns are ignored by the query and kept by ``encode_column``'s
 caller; lone surrogates cannot occur in Spark strings.
 """
@@ -21,6 +24,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,27 @@ SEPARATORS = re.compile("[\x1c-\x1f]")
 MARK_AFTER_LETTER = re.compile(r"([,.;:!?])(?<=[^\W\d_][,.;:!?])(?=\s)")
 
 
+#: All code points that a string may hold.
+EVERY = (*range(0xD800), *range(0xE000, 0x110000))
+
+
+def ranges(points: Iterable[int]) -> str:
+    """Ascending code points as the inside of a character class."""
+    out: list[list[int]] = []
+    for p in points:
+        if out and out[-1][1] == p - 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+@cache
+def unassigned() -> re.Pattern:
+    """Any character that Python's tables don't know."""
+    return re.compile(f"[{ranges(p for p in EVERY if unicodedata.category(chr(p)) == 'Cn')}]")
+
+
 def byte_letters() -> list[str]:
     """The printable stand-in of each byte: Latin-1 letters stand for themselves, the rest follow from U+0100."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -208,11 +233,27 @@ class WordBpe:
         self.tokens = {v: k for k, v in self.vocab.items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.tokens |= {v: k for k, v in self.special.items()}
-        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.word = regex.compile(split, regex.V0)
+        self.path, self.split_by = path, spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.word = regex.compile(self.split_by, regex.V0)
         self.space = regex.compile(r"\s+")
         self.marks = re.compile("|".join(re.escape(x) for x in self.special)) if self.special else None
 
+    @cached_property
+    def exact_word(self) -> regex.Pattern:
+        """``word`` by the library's own classes of letters and numbers."""
+        from tokenizers import Regex, normalizers
+
+        everything, pattern = "".join(map(chr, EVERY)), self.split_by
+        for kind in (r"\p{L}", r"\p{N}"):
+            pattern = pattern.replace(kind, ranges(map(ord, normalizers.Replace(Regex(f"[^{kind}]+"), "").normalize_str(everything))))
+        return regex.compile(pattern, regex.V0)
+
+    @cached_property
+    def exact_normalizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path).normalizer
+
     def word_ids(self, word: str) -> list[int]:
         """Ids of one normalised word."""
         letters = word.encode("utf-8")
@@ -247,6 +288,8 @@ class WordBpe:
     def lowered(self, text: str) -> str:
         """Normalised but for white space."""
         if not text.isascii():
+            if unassigned().search(text):
+                return self.exact_normalizer.normalize_str(text)
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:
                 # Letter by letter: str.lower() of a whole string looks at the context of a final sigma.
@@ -255,7 +298,9 @@ class WordBpe:
 
     def words(self, piece: str) -> list[str]:
         """Words of a normalised piece of text without white space or special tokens."""
-        return [piece] if piece.isalpha() else self.word.findall(piece)
+        if piece.isalpha():
+            return [piece]
+        return (self.word if piece.isascii() or not unassigned().search(piece) else self.exact_word).findall(piece)
 
     def pieces(self, text: str) -> Iterator[tuple[str | None, int]]:
         """(text between special tokens, 0) and (None, id of a special token), in order."""
@@ -284,6 +329,7 @@ class WordBpe:
 
 _loaded: dict[str, WordBpe] = {}
 
+
 def tokenizer(path: str) -> WordBpe:
     """The tokenizer of this process."""
     if path not in _loaded:
@@ -303,7 +349,7 @@ class Renderer:
 
     def learn(self, pieces: set[str]) -> None:
         """Remember the values of pieces that are not known yet."""
-        odd = {piece: self.bpe.word.findall(piece) for piece in pieces if not piece.isalpha()}
+        odd = {piece: self.bpe.words(piece) for piece in pieces if not piece.isalpha()}
         new = [*{w for words in odd.values() for w in words}.union(pieces.difference(odd)).difference(self.known)]
         ids = self.bpe.words_ids(new)
         self.known.update(zip(new, map(self.render, ids) if self.render else ids, strict=True))

@@ -9,12 +9,14 @@ As an input byte selects a row of a filter's weights, a filter of width two is o
 byte pairs; wider ones are sums of such look-ups.
 
 Training reads at most PER_LANGUAGE documents of each language, those least by hash of their id (where ids repeat, one row of each, of least text), and at most
-PER_DOCUMENT windows of each; both are parameters. Of the id only the split into training and held-out rows is
+PER_DOCUMENT windows of each, which are cut on the executors; both are parameters. Of the id only the split into training and held-out rows is
 derived; language, source and id are no inputs.
 
+``accepted``, the pipeline's first stage, drops `und` and answers of a score below LEAST_SCORE, a parameter.
+
 Defined results: a null text, or one without a letter, is `und` with score 0. With no labelled row at all,
 every text is `und`. A null id is not held out, nor trained on. Repeated rows get equal answers. Texts of
-any length are read whole. An empty table gives an empty result.
+any length are read whole. Extra columns are ignored, and kept by ``accepted``, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -91,23 +93,22 @@ def windows_of(data: bytes, window: int = WINDOW) -> np.ndarray:
     return out.reshape(n, window)
 
 
-def train(samples: list[tuple[bytes, str]], per_document: int = PER_DOCUMENT, epochs: int = EPOCHS, seed: int = SEED) -> Network | None:
-    """A network from (text, language); None without samples."""
+def train(samples: list[tuple[bytes, str]], epochs: int = EPOCHS, seed: int = SEED) -> Network | None:
+    """A network from (window, language); None without samples."""
     languages = sorted({lang for _, lang in samples})
     if not languages:
         return None
     rng = np.random.default_rng(seed)
     x, y = [], []
     for data, lang in samples:
-        own = windows_of(data)
-        for k in sorted(rng.choice(len(own), min(per_document, len(own)), replace=False).tolist()):
-            x.append(own[k])
+        own = windows_of(data)[0]
+        x.append(own)
+        y.append(languages.index(lang))
+        if rng.random() < 0.3:  # short texts occur as well
+            cut = own.copy()
+            cut[rng.integers(8, 128) :] = 0
+            x.append(cut)
             y.append(languages.index(lang))
-            if rng.random() < 0.3:  # short texts occur as well
-                cut = own[k].copy()
-                cut[rng.integers(8, 128) :] = 0
-                x.append(cut)
-                y.append(languages.index(lang))
     x, y = np.stack(x), np.array(y)
     features, classes = FILTERS * len(WIDTHS), len(languages)
     normal = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
@@ -160,8 +161,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = ID, text_col: str = TEXT, lang_col: str = "lang") -> list[tuple[bytes, str]]:
-    """A bounded sample of labelled documents: ids first, from slim columns, then the texts of those."""
+def cut_windows(text: Column, doc_id: Column, per_document: int) -> Column:
+    """At most ``per_document`` windows of a binary column, evenly spread from a place that the id decides."""
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length(text) / WINDOW).cast("int"))
+    taken = F.least(F.lit(per_document), n)
+    place = lambda i: F.pmod(F.pmod(F.xxhash64(doc_id, F.lit("window")), n) + i * F.floor(n / taken), n).cast("int")
+    return F.transform(F.sequence(F.lit(0), taken - 1), lambda i: F.substring(text, place(i) * WINDOW + 1, F.lit(WINDOW)))
+
+
+def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = ID, text_col: str = TEXT, lang_col: str = "lang", per_document: int = PER_DOCUMENT) -> list[tuple[bytes, str]]:
+    """Windows of a bounded sample of labelled documents: ids first, from slim columns, then ``per_document`` windows of each, so the driver gets no whole text."""
     usable = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
     slim = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).distinct()
     counts = slim.groupBy("lang").agg(F.count(F.lit(1)).alias("total"))  # one row a language
@@ -172,8 +181,9 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: s
         ids.setdefault(r.lang, []).append(r.id)
     sampled = reduce(or_, [(F.col(lang_col) == lang) & F.col(id_col).isin(own) for lang, own in ids.items()], F.lit(False))
     texts = usable.where(sampled).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang"))
-    rows = texts.groupBy("id", "lang").agg(F.min("text").alias("text")).where("text is not null").collect()  # one row an id and language
-    return [(bytes(r.text), r.lang) for r in sorted(rows, key=lambda r: (r.id, r.lang, bytes(r.text)))]
+    one = texts.groupBy("id", "lang").agg(F.min("text").alias("text")).where("text is not null")  # one row an id and language
+    rows = one.select("id", "lang", cut_windows(F.col("text"), F.col("id"), per_document).alias("windows")).collect()
+    return [(bytes(w), r.lang) for r in sorted(rows, key=lambda r: (r.id, r.lang)) for w in r.windows]
 
 
 def trained(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = ID, text_col: str = TEXT, lang_col: str = "lang") -> Network | None:

@@ -130,16 +130,32 @@ def find_spans(text: str, models: Models) -> list[tuple[int, int, int]]:
         if "AKIA" in text:
             found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-        base = sorted(found)
+        covered, k = joined(found), 0
         for m in RUN.finditer(text):
-            at = m.start()
-            for s, e in [(s, e) for s, _, e in base if s < m.end() and m.start() < e] + [(m.end(), m.end())]:
+            at, end = m.span()
+            while k < len(covered) and covered[k][1] <= at:
+                k += 1
+            while at < end:
+                s, e = covered[k] if k < len(covered) and covered[k][0] < end else (end, end)
                 if s - at >= CANDIDATE:
                     found += [(at + a, 3, at + b) for a, b in models.stretches(text[at:s])]
-                at = max(at, e)
+                at = e
+                if at < end:
+                    k += 1
     return sorted(found)
 
 
+def joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What spans cover, as ordered stretches that do not touch."""
+    out: list[tuple[int, int]] = []
+    for start, _, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
 def shown(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
