@@ -1,33 +1,44 @@
 """SimHash near-dedup by covering locality-sensitive hashing.
 
-Method: bit i of a fingerprint is given the vector v(i) = 1 + i mod 7, of three bits. For each of the
-seven non-zero masks m, table m keeps the bits with odd parity of v(i) & m. Two differing bits put two
-linear conditions on three unknowns, so some m leaves both bits out: every pair within radius 2
-collides in some table, for sure. The same construction is repeated over the bits that a table
+Method: bit i of a fingerprint is given the vector v(i) = 1 + i mod (2**(r + 1) - 1), of r + 1 bits. For each of the
+2**(r + 1) - 1 non-zero masks m, table m keeps the bits with odd parity of v(i) & m. At most r differing bits put
+r linear conditions on r + 1 unknowns, so some m leaves all these bits out: every pair within radius r
+collides in some table, for sure.
+
+``near_groups`` links fingerprints of 64 bits within radius 2 (seven tables). The same construction is repeated over the bits that a table
 leaves out wherever a bucket is large (37 bits are kept by a table, then about 52, then more),
 so buckets stay bounded and no pair within the radius is lost. Fingerprints
-are distinct before they are hashed, so copies never meet as pairs.
-
-Inside a bucket, links are found by vectorised comparison and reduced to a star per component; the
+are distinct before they are hashed, so copies never meet as pairs. Inside a bucket, links are found by vectorised comparison and reduced to a star per component; the
 components over all buckets follow from least-label propagation with pointer jumping, each
 round a table on shared storage.
 
+``similar_groups`` links texts whose sets of word shingles have a Jaccard similarity of ``least`` or more. At 0.8 two SimHash fingerprints
+differ in about 15 % of their bits, a radius that no few tables cover, so the fingerprint has BLOCKS blocks of BLOCK_BITS bits and each block is covered for
+radius BLOCK_RADIUS: every pair within that radius in any block collides, so every pair with at most BLOCKS * (BLOCK_RADIUS + 1) - 1 differing bits does, and most pairs beyond it. Pairs of a
+bucket are held against SKETCH_BITS further bits, then against all bits, and at last exactly by their sets. Recall against brute force is
+measured in tests and given in README; precision is 1. A first pass checks, for each text of a bucket, the nearest one before it; the second
+pass checks all other pairs whose components still differ, so copies are not expanded into all pairs.
+Buckets of more than about BUCKET texts are dealt out in cells that share some leaders in the first pass; in the second, what is not in the
+component of most of the bucket's texts is held against all cells. A sample of texts tells which buckets are so large; it decides how rows are dealt, not what is compared in the end.
+
 Defined results: a null text counts as empty; texts without a word have fingerprint zero and link
-like others. Repeated rows share a fingerprint and a component. A null id never becomes a
-component's id unless all its ids are null. An empty table gives an empty result.
+like others (``similar_groups``: are one group). Texts of any length are read whole. Repeated rows share a fingerprint and a component. A null id never becomes a
+component's id unless all its ids are null. Extra columns, whatever their names, are ignored, and kept by ``kept_documents``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from dramatis.llm.common import ID, TEXT, Scratch, only_kept, table
+from dramatis.llm.common import BROADCAST_IDS, ID, TEXT, Scratch, mapped, only_kept, table
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Distinct fingerprints of a bucket beyond which it is hashed further, and free bits below which it never is.
@@ -36,6 +47,16 @@ BUCKET, LEAST_FREE = 1000, 6
 BROADCAST_BUCKETS = 100_000
 ONES = np.uint64(0x0101010101010101)
 
+# Of ``similar_groups``.
+WORDS, LEAST = 5, 0.8
+BLOCKS, BLOCK_BITS, BLOCK_RADIUS, SKETCH_BITS = 7, 36, 3, 64
+#: Differing bits of the sketch, and of all N_WORDS * 64 bits, beyond which a pair is not looked at; of 4,911 similar pairs of check_s they lose 4.
+SKETCH_FAR, ALL_FAR = 17, 62
+#: One text in so many is in the sample that finds large buckets; leaders that all cells of such a bucket share; and pairs that are sent on at once.
+SAMPLED, LEADERS, CHUNK = 64, 8, 100_000
+#: Word hashes that a worker remembers.
+REMEMBERED_WORDS = 300_000
+
 
 def fingerprint(text: bytes) -> int:
     """64 majority bits of the XXH64 of all word shingles, repeats included."""
@@ -72,10 +93,10 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def covering_masks(free: int) -> list[int]:
-    """Over the bits of ``free``, seven masks of which, for any two bits, at least one holds neither."""
-    bits = [i for i in range(64) if free >> i & 1]
-    return [sum(1 << bit for k, bit in enumerate(bits) if ((1 + k % 7) & m).bit_count() & 1) for m in range(1, 8)]
+def covering_masks(free: int, radius: int = RADIUS) -> list[int]:
+    """Over the bits of ``free``, 2**(radius + 1) - 1 masks of which, for any ``radius`` bits, at least one holds none."""
+    bits, n = [i for i in range(64) if free >> i & 1], (2 << radius) - 1
+    return [sum(1 << bit for k, bit in enumerate(bits) if ((1 + k % n) & m).bit_count() & 1) for m in range(1, n + 1)]
 
 
 def hash_tables(fps: DataFrame, scratch: Scratch) -> DataFrame:
@@ -191,9 +212,270 @@ def near_groups(docs: DataFrame, id_col: str = ID, text_col: str = TEXT) -> Data
     return of_doc.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def kept_documents(docs: DataFrame, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
-    """The document of least id of each component, with all its columns."""
-    return only_kept(docs, id_col, near_groups(docs, id_col, text_col).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+_words: dict[bytes, int] = {}
+
+
+def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+    """The distinct 64-bit hashes of all word shingles, ascending; a text of fewer words is one shingle."""
+    parts = text.lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    if len(_words) > REMEMBERED_WORDS:
+        _words.clear()
+    known = _words.get
+    hashes = [known(w) for w in parts]
+    if None in hashes:
+        for w in set(parts):
+            if w not in _words:
+                _words[w] = xxhash.xxh64_intdigest(w, SEED)
+        hashes = [_words[w] for w in parts]
+    own = np.array(hashes, np.uint64)
+    n = max(1, len(own) - words + 1)
+    out = np.full(n, min(len(own), words), np.uint64)
+    for k in range(min(words, len(own))):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + own[k : k + n])
+    return np.unique(out)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def wide_fingerprints(sets: list[np.ndarray], n_words: int) -> np.ndarray:
+    """(sets, n_words): 64 majority bits a word, of the sets' hashes mixed anew for each word."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    out = np.zeros((len(sets), n_words), np.uint64)
+    full = np.flatnonzero(sizes)
+    if not len(full):
+        return out
+    flat, size = np.concatenate([sets[k] for k in full]), sizes[full]
+    start = np.cumsum(size) - size
+    # Runs of at most 255, which eight counters of a byte can hold, and the first run of each set.
+    runs_of = -(-size // 255)
+    first = np.cumsum(runs_of) - runs_of
+    runs = np.repeat(start - 255 * first, runs_of) + 255 * np.arange(int(runs_of.sum()))
+    for w in range(n_words):
+        h = mixed(flat + np.uint64((w + 1) * 0xD1342543DE82EF95 % (1 << 64))) if w else flat
+        word = np.zeros(len(full), np.uint64)
+        for k in range(8):
+            counts = np.add.reduceat(h >> np.uint64(k) & ONES, runs).view(np.uint8).reshape(-1, 8)
+            over = np.add.reduceat(counts.astype(np.int64), first, axis=0) * 2 > size[:, None]
+            word |= (over.astype(np.uint64) << (np.uint64(8) * np.arange(8, dtype=np.uint64) + np.uint64(k))).sum(1, dtype=np.uint64)
+        out[full, w] = word
+    return out
+
+
+def set_id(of: np.ndarray) -> int:
+    """A set's node, as a signed long."""
+    return signed(xxhash.xxh3_64_intdigest(of.tobytes(), SEED))
+
+
+N_WORDS = -(-(SKETCH_BITS + BLOCKS * BLOCK_BITS) // 64)
+
+
+def nodes_of(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, node (its set), n (the size of it), bits (fingerprint, an array of longs, of which the first is the sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingles(t.as_py() or b"", words) for t in part.column(1)]
+                bits = wide_fingerprints(sets, N_WORDS).view(np.int64)
+                offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * N_WORDS)
+                columns = [part.column(0), pa.array([set_id(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(bits.ravel()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "bits"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, node long, n long, bits array<long>")
+
+
+def sets_of(docs: DataFrame, words: int) -> DataFrame:
+    """node and all shingles of each document (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                sets = [shingles(t.as_py() or b"", words) for t in batch.column(0).slice(at, 256)]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, shingles array<long>")
+
+
+def block_keys() -> list:
+    """A column for each table: the hash of its number and of the bits that it keeps. Blocks lie end to end after the sketch."""
+    word = lambda k: F.element_at("bits", k + 1)
+    masks, out = covering_masks((1 << BLOCK_BITS) - 1, BLOCK_RADIUS), []
+    for block in range(BLOCKS):
+        k, shift = divmod(SKETCH_BITS + block * BLOCK_BITS, 64)
+        held = F.shiftrightunsigned(word(k), shift)
+        if shift + BLOCK_BITS > 64:
+            held = held.bitwiseOR(F.shiftleft(word(k + 1), 64 - shift))
+        out += [F.xxhash64(F.lit(len(masks) * block + i), held.bitwiseAND(F.lit(m))) for i, m in enumerate(masks)]
+    return out
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[np.ndarray]:
+    """Rows sorted by their first ``by`` columns, cut only where these change."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+        if held and (held[-1][-1, :by] != rows[0, :by]).any():
+            yield np.concatenate(held)
+            held = []
+        other = np.flatnonzero((rows[:, :by] != rows[-1, :by]).any(1))
+        first = int(other[-1]) + 1 if len(other) else 0
+        if first:
+            yield np.concatenate([*held, rows[:first]])
+            held = []
+        held.append(rows[first:])
+    if held:
+        yield np.concatenate(held)
+
+
+def close_pairs(rows: np.ndarray, by: int, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(earlier, later, differing bits) of pairs of one group with close sketches; later ones are distinct within a yield."""
+    group = np.concatenate([[0], np.cumsum((rows[1:, :by] != rows[:-1, :by]).any(1))])
+    at, lag = np.arange(len(rows)), 1
+    while True:
+        at = at[at + lag < len(rows)]
+        at = at[group[at] == group[at + lag]]
+        if not len(at):
+            return
+        far = np.bitwise_count(sketch[at] ^ sketch[at + lag])
+        close = np.flatnonzero(far <= SKETCH_FAR)
+        if len(close):
+            yield at[close], at[close] + lag, far[close]
+        lag += 1
+
+
+def nearest_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (bucket, cell, node, sketch) in this order: those with a close one in the bucket, and the nearest before them (or null)."""
+    for rows in whole_groups(batches, 2):
+        rows = rows[np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(1)])]
+        best, near, touched = np.full(len(rows), 255, np.uint8), np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
+        for a, b, far in close_pairs(rows, 2, np.ascontiguousarray(rows[:, 3]).view(np.uint64)):
+            touched[a] = touched[b] = True
+            better = far < best[b]
+            best[b[better]], near[b[better]] = far[better], a[better]
+        at = np.flatnonzero(touched)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(rows[at, 0]), pa.array(rows[at, 2]), pa.array(rows[at, 3]), pa.array(rows[near[at], 2], mask=best[at] == 255)], ["bucket", "node", "sketch", "near"])
+
+
+def pairs_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (bucket, cell, other, node, sketch, label) in this order: all close pairs of differing labels."""
+    for rows in whole_groups(batches, 3):
+        node, label, held, waiting = rows[:, 3], rows[:, 5], [], 0
+        for a, b, _ in close_pairs(rows, 3, np.ascontiguousarray(rows[:, 4]).view(np.uint64)):
+            apart = label[a] != label[b]
+            if apart.any():
+                a, b = node[a[apart]], node[b[apart]]
+                held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+                waiting += len(a)
+            if waiting >= CHUNK:
+                pairs = np.unique(np.concatenate(held), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                held, waiting = [], 0
+        if waiting:
+            pairs = np.unique(np.concatenate(held), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def dealt(rows: DataFrame, scratch: Scratch, bucket: int) -> DataFrame:
+    """Rows (bucket, node, sketch) with the cell of their bucket; leaders of a large one are in all its cells."""
+    sample = rows.where(F.pmod(F.xxhash64("node", F.lit("sample")), F.lit(SAMPLED)) == 0)
+    large = sample.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * SAMPLED > bucket)
+    large = scratch.keep(large.select("bucket", F.ceil(F.col("n") * SAMPLED / bucket).cast("int").alias("cells")), "large")
+    n = large.count()
+    if not n:
+        return rows.select("bucket", F.lit(0).alias("cell"), "node", "sketch")
+    large = F.broadcast(large) if n <= BROADCAST_BUCKETS else large
+    cell = F.coalesce(F.pmod(F.xxhash64("node", "bucket", F.lit("cell")), F.col("cells")), F.lit(0)).cast("int")
+    own = rows.join(large, "bucket", "left").select("bucket", cell.alias("cell"), "node", "sketch")
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
+    leaders = sample.join(large, "bucket").withColumn("rank", rank).where(F.col("rank") <= LEADERS)
+    return own.unionByName(leaders.select("bucket", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "node", "sketch"))
+
+
+def grid(shared: DataFrame, labels: DataFrame, bucket: int) -> DataFrame:
+    """Rows (bucket, cell, other, node, sketch, label) in which all pairs of differing labels of a bucket meet.
+
+    In a bucket of more than ``bucket`` texts, those of the label that most of them have are dealt out in cells, and the rest is copied to each.
+    """
+    told = shared.select("bucket", "node", "sketch").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of_label = told.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed_ = of_label.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    cells = lambda n: F.when(F.col("n") <= bucket, 1).otherwise(F.greatest(F.lit(1), F.ceil(n / bucket))).cast("int")
+    mixed_ = mixed_.select("bucket", F.col("main.label").alias("most"), cells(F.col("main.n")).alias("mains"), cells(F.col("n") - F.col("main.n")).alias("others"))
+    rows = told.join(mixed_, "bucket")
+    of = lambda n: F.pmod(F.xxhash64("node", F.lit("grid")), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    main = F.transform(every("others"), lambda j: F.struct(of("mains").alias("cell"), j.alias("other")))
+    rest = F.transform(every("mains"), lambda i: F.struct(i.alias("cell"), of("others").alias("other")))
+    # The rest among itself: with one cell of it, all of it meets above already.
+    among = F.transform(every("others"), lambda j: F.struct((-1 - F.least(j, of("others"))).alias("cell"), F.greatest(j, of("others")).alias("other")))
+    places = F.when(F.col("label") == F.col("most"), main).when(F.col("others") > 1, F.concat(rest, among)).otherwise(rest)
+    return rows.select("bucket", F.explode(places).alias("at"), "node", "sketch", "label").select("bucket", "at.cell", "at.other", "node", "sketch", "label")
+
+
+def similar_groups(docs: DataFrame, words: int = WORDS, least: float = LEAST, id_col: str = ID, text_col: str = TEXT, bucket: int = BUCKET) -> DataFrame:
+    """One row per document: doc_id, node (its set), root (the least node of its component), component_id (the least id of all that pairs of similarity ``least`` or more connect)."""
+    spark, bound = docs.sparkSession, Fraction(str(least))
+    if not 0 < bound <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+    scratch = Scratch(spark, "similar")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    of_doc = scratch.keep(nodes_of(docs, words, id_col, text_col), "documents")
+    nodes = scratch.keep(of_doc.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
+    rows = nodes.where("n > 0").select(F.explode(F.array(*block_keys())).alias("bucket"), "node", F.element_at("bits", 1).alias("sketch"))
+    order = ("bucket", "cell", "node")
+    near = dealt(rows, scratch, bucket).repartition(width, "bucket", "cell").sortWithinPartitions(*order).select(*order, "sketch")
+    shared = scratch.keep(near.mapInArrow(nearest_before, "bucket long, node long, sketch long, near long"), "shared")
+
+    def checked(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """The pairs, and those that are similar: by size and fingerprint first, then by the full sets of one document of each."""
+        pairs = scratch.keep(pairs.distinct(), f"pairs_{name}")
+        side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
+        far = sum(F.bit_count(F.element_at("bitsa", k).bitwiseXOR(F.element_at("bitsb", k))) for k in range(1, N_WORDS + 1))
+        sizes = F.least("na", "nb") * bound.denominator >= F.greatest("na", "nb") * bound.numerator
+        some = scratch.keep(pairs.join(side("a"), "a").join(side("b"), "b").where(sizes & (far <= ALL_FAR)).select("a", "b"), f"close_{name}")
+        about = scratch.keep(some.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "least_id"), f"about_{name}")
+        ids = about.select(F.col("least_id").alias("wanted_id")).distinct()
+        if about.count() <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
+        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+        sets = scratch.keep(sets_of(texts, words).join(F.broadcast(about.select("node")) if about.count() <= BROADCAST_IDS else about.select("node"), "node", "left_semi").dropDuplicates(["node"]), f"sets_{name}")
+        both = some.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        common = F.size(F.array_intersect("x", "y")) * (bound.numerator + bound.denominator)
+        return pairs, scratch.keep(both.where(common >= bound.numerator * (F.size("x") + F.size("y"))).select("a", "b"), f"links_{name}")
+
+    tried, links = checked(shared.where("near is not null").select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")), "first")
+    labels = components(links, scratch)
+    meeting = grid(shared, labels, bucket).repartition(width, "bucket", "cell", "other").sortWithinPartitions("bucket", "cell", "other", "node")
+    apart = meeting.select("bucket", F.col("cell").cast("long"), F.col("other").cast("long"), "node", "sketch", "label").mapInArrow(pairs_apart, "a long, b long")
+    links = links.unionByName(checked(apart.join(tried, ["a", "b"], "left_anti"), "second")[1])
+    labels = components(links, scratch)
+    rooted = scratch.keep(nodes.join(labels, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("root")), "rooted")
+    # Most nodes are their own root, and only those of links share one.
+    least_ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = scratch.keep(rooted.join(least_ids, "root").select("node", "root", "component_id"), "named")
+    scratch.drop("shared")
+    return of_doc.join(named, "node").select("doc_id", "node", "root", "component_id")
+
+
+def kept_documents(docs: DataFrame, words: int = WORDS, least: float = LEAST, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
+    """The document of least id of each component of ``similar_groups``, with all its columns; of several rows of that id in one component, one of the least node."""
+
+    @F.arrow_udf("long")
+    def node(texts: pa.Array) -> pa.Array:
+        return mapped(texts.cast(pa.binary()), lambda t: set_id(shingles(t or b"", words)), pa.int64())
+
+    groups = similar_groups(docs, words, least, id_col, text_col).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")), "root", "node")
+    return only_kept(docs, id_col, groups, node(F.col(text_col)))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

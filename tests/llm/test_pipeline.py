@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from dramatis.llm import bpe, langid, secrets
-from tests.llm.test_ops import brute_components, brute_fingerprint
+from tests.llm.test_similar import brute_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,9 +38,9 @@ def test_stages(spark, tmp_path):
                 best[lower_ascii(r.text)] = max(i, best.get(lower_ascii(r.text), i))
             assert set(after) == set(best.values())
         elif name == "near":
-            ids = sorted(before)
-            roots = brute_components([brute_fingerprint(before[i].text) for i in ids])
-            assert set(after) == {ids[c] for c in roots}
+            roots = brute_groups([(i, before[i].text) for i in sorted(before)])
+            gone = {i for i, root in roots.items() if i != root}
+            assert set(before) - gone <= set(after) <= set(before) and len(set(after) & gone) <= 0.1 * len(gone)
         elif name == "secrets":
             models = secrets.trained(docs)
             assert set(after) == set(before)

@@ -1,12 +1,14 @@
-"""The near stage of the pipeline against brute-force Jaccard."""
+"""Similar texts by wide fingerprints, and the near stage of the pipeline, against brute-force Jaccard."""
 
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dramatis.llm import similar
+from dramatis.llm import simhash
 from tests.llm.test_ops import brute_fingerprint
 
 ROW = "doc_id long, text string"
@@ -40,20 +42,56 @@ def edited(rng, words, edits):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("all_pairs", [4, 32])
-def test_similar_groups(spark, monkeypatch, all_pairs):
-    monkeypatch.setattr(similar, "ALL_PAIRS", all_pairs)
+def pairs_of(groups):
+    """Pairs of ids that are in one group."""
+    members = {}
+    for i, root in groups.items():
+        members.setdefault(root, []).append(i)
+    return {p for own in members.values() for p in combinations(sorted(own), 2)}
+
+
+@pytest.mark.parametrize("bucket", [4, 30, simhash.BUCKET])
+def test_similar_groups(spark, bucket):
     rng = random.Random(7)
     vocabulary = [f"w{k}" for k in range(400)]
     line = rng.choices(vocabulary, k=20)  # in most texts
     texts = [None, "", "\n", "one two", "ONE  two", "a b c d e", "a b c d e f", "a b c d e f"]
     for k in range(12):
-        base = rng.choices(vocabulary, k=rng.choice([8, 30, 100, 250])) + line
+        base = rng.choices(vocabulary, k=rng.choice([30, 100, 250])) + line
         texts += [edited(rng, base, rng.choice([0, 0, 1, 1, 2, 3, 4, 6])) for _ in range(12)]
     rows = list(enumerate(texts))
-    got = {r.doc_id: r.component_id for r in similar.similar_groups(spark.createDataFrame(rows, ROW)).collect()}
-    assert got == brute_groups(rows) and 20 < len(set(got.values())) < len(rows) - 20
-    assert similar.similar_groups(spark.createDataFrame([], ROW)).count() == 0
+    frame = spark.createDataFrame(rows, ROW).withColumn("node", F.lit("x")).withColumn("label", F.lit(1))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame, bucket=bucket).collect()}
+    want = pairs_of(brute_groups(rows))
+    found = pairs_of(got)
+    assert found <= want and len(found) >= 0.95 * len(want) > 100
+    assert all(len({got[k] for k in same}) == 1 for same in ([0, 1, 2], [3, 4], [6, 7]))
+    assert simhash.similar_groups(spark.createDataFrame([], ROW), bucket=bucket).count() == 0
+
+
+def test_recall_of_planted_copies(spark):
+    """Copies of whole documents edited down to a similarity of 0.8."""
+    rng = random.Random(11)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) between 200 and 20000").orderBy("doc_id").limit(400).collect()]
+    planted = []
+    for i, text in rows:
+        words = text.split()
+        for k in range(2):
+            copy = edited(rng, words, rng.randint(1, max(1, len(words) // 40)))
+            one, other = brute_set(text), brute_set(copy)
+            if 5 * len(one & other) >= 4 * len(one | other):
+                planted.append((i, 1_000_000 + 10 * i + k, copy))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows + [x[1:] for x in planted], ROW).repartition(4)).collect()}
+    recall = np.mean([got[a] == got[b] for a, b, _ in planted])
+    assert len(planted) > 300 and recall >= 0.95
+
+
+def test_masks_of_a_block():
+    """Every set of BLOCK_RADIUS bits is left out by some mask."""
+    n, radius = simhash.BLOCK_BITS, simhash.BLOCK_RADIUS
+    masks = simhash.covering_masks((1 << n) - 1, radius)
+    assert len(masks) == 2 ** (radius + 1) - 1
+    assert all(any(not some & m for m in masks) for some in (sum(1 << b for b in c) for c in combinations(range(n), radius)))
 
 
 def test_near_stage_reaches_similarity(spark):
