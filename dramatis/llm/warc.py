@@ -7,11 +7,12 @@ verifies that none is missing and that the length is right, and decodes the chun
 need no grouping and are decoded where they are read.
 
 Archives are written and read with Spark's own writers and readers, so they can lie in any store that Spark
-reaches, and a lost task is written again. Records roll to a new file by count, which bounds the size of a file.
+reaches, and a lost task is written again. Records and segments are written in rows of about ROW_BYTES, and a file takes ROWS_PER_FILE of them, so a file
+has a bounded size however long the payloads are. The length and digest that a revisit names are checked against the response it refers to.
 
 Defined results: a null payload counts as empty. Of equal payloads, the row of least page_id is the response and the
 others are revisits of it (rows that repeat that page_id too are responses). A null page_id is
-a response only if no other has its payload. An empty table gives an empty result. Extra columns are ignored.
+a response only if no other has its payload. Payloads of any length that a Spark value can hold (2 GB) are whole records again after reading. An empty table gives an empty result. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dramatis.llm.common import Scratch, table
+from dramatis.llm.common import BATCH_BYTES, Scratch, table
 
-SEGMENT, CHUNK, RECORDS_PER_FILE, DATE = 32_768, 8192, 2000, "2024-01-01T00:00:00Z"
+SEGMENT, CHUNK, DATE = 32_768, 8192, "2024-01-01T00:00:00Z"
+#: Bytes of records that are written as one row (the last record may pass them), and such rows of a file: about 32 MB before compression.
+ROW_BYTES, ROWS_PER_FILE = 1 << 20, 32
 #: Payloads below this size are never revisits.
 REVISIT_LEAST = 0
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -102,7 +105,7 @@ def parsed(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 8 + size
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment: int = SEGMENT, records_per_file: int = RECORDS_PER_FILE, revisit_least: int = REVISIT_LEAST) -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment: int = SEGMENT, row_bytes: int = ROW_BYTES, rows_per_file: int = ROWS_PER_FILE, revisit_least: int = REVISIT_LEAST) -> None:
     """Write gzip-compressed archives of ``pages`` to the folder ``path``."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("same", F.sha2("payload", 256))
@@ -115,30 +118,45 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, n = TaskContext.get().partitionId(), 0
+        # The writer ends each row with a line feed, which is the last byte of a record.
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(made)[:-1]], pa.binary())], ["record"])
+        task, n, made, held = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
-            made: list[bytes] = []
-            for page_id, url, data, origin in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for values in zip(*batch.columns, strict=True):
+                page_id, url, data, origin = (v.as_py() for v in values)
                 n += 1
                 name = "null" if page_id is None else str(page_id)
                 clean = (url or "").replace("\r", " ").replace("\n", " ")
-                # The writer ends each row with a line feed, which is the last byte of a record.
-                made += [r[:-1] for r in records(f"urn:page:{name}:{task}-{n}", clean, data, None if origin is None else f"urn:page:{origin}", segment)]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["record"])
+                for part in records(f"urn:page:{name}:{task}-{n}", clean, data, None if origin is None else f"urn:page:{origin}", segment):
+                    made.append(part)
+                    held += len(part)
+                    if held >= row_bytes:
+                        yield row()
+                        made, held = [], 0
+        if made:
+            yield row()
 
     written = marked.select("page_id", "url", "payload", "origin").mapInArrow(run, "record binary")
-    written.select(F.col("record").cast("string").alias("value")).write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    written.select(F.col("record").cast("string").alias("value")).write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", rows_per_file).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """From archives in the folder ``path``: record_id, record_type, refers_to (record), payload (null for a revisit), and what the headers say of it."""
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+    names = ["record_id", "record_type", "refers_to", "number", "total", "said_digest", "said_bytes", "block"]
+    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 rows: tuple[list, ...] = tuple([] for _ in range(8))
+                held = 0
                 for headers, block in parsed(zlib.decompress(content.as_buffer(), 31)):
+                    if held >= BATCH_BYTES:
+                        yield batch_of(rows)
+                        rows, held = tuple([] for _ in range(8)), 0
+                    held += len(block)
                     number = headers.get("warc-segment-number")
                     values = (
                         headers.get("warc-segment-origin-id", headers["warc-record-id"]).strip("<>"),
@@ -152,7 +170,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     )
                     for column, value in zip(rows, values, strict=True):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["record_id", "record_type", "refers_to", "number", "total", "said_digest", "said_bytes", "block"])
+                yield batch_of(rows)
 
     parts = files.mapInArrow(run, "record_id string, record_type string, refers_to string, number int, total long, said_digest string, said_bytes long, block binary")
     single = parts.where("number is null").drop("number", "total")
@@ -192,10 +210,21 @@ def payloads(read: DataFrame) -> DataFrame:
     return read.select("record_id", "record_type", "refers_to", "said_digest", "said_bytes", "block").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
+def verified(pages: DataFrame) -> DataFrame:
+    """``pages`` as ``payloads`` gives them; a revisit that names another length or digest than its response, or none that there is, is an error."""
+    told = F.struct("payload_bytes", "payload_digest")
+    revisits = pages.where("record_type = 'revisit'")
+    known = pages.where("record_type = 'response'").select(F.col("page_id").alias("origin"), told.alias("real")).distinct()
+    held = revisits.withColumn("said", told).join(known, (F.col("refers_to") == F.col("origin")) & (F.col("said") == F.col("real")), "left")
+    wrong = F.raise_error(F.concat(F.lit("revisit "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(" has no such response"))).cast("long")
+    checked = held.withColumn("refers_to", F.when(F.col("origin").isNotNull(), F.col("refers_to")).otherwise(wrong))
+    return pages.where("record_type = 'response'").unionByName(checked.select(*pages.columns))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), scratch.path("archives"))
-    return payloads(read_archives(spark, scratch.path("archives")))
+    return verified(scratch.keep(payloads(read_archives(spark, scratch.path("archives"))), "pages"))
 
 
 ORACLE = """
