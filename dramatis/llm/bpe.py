@@ -36,7 +36,7 @@ from dramatis.llm.common import ID, TEXT, slices, table
 
 NO_RANK = 1 << 60
 #: Remembered pieces per worker (about 200 bytes each), and the longest piece that is remembered.
-REMEMBERED, LONGEST = 1_000_000, 48
+REMEMBERED, LONGEST = 300_000, 48
 #: str.split() takes these four for white space; the tokenizer does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 MARK_AFTER_LETTER = re.compile(r"([,.;:!?])(?<=[^\W\d_][,.;:!?])(?=\s)")

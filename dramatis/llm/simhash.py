@@ -54,8 +54,8 @@ BLOCKS, BLOCK_BITS, BLOCK_RADIUS, SKETCH_BITS = 7, 36, 3, 64
 SKETCH_FAR, ALL_FAR = 17, 62
 #: One text in so many is in the sample that finds large buckets; leaders that all cells of such a bucket share; and pairs that are sent on at once.
 SAMPLED, LEADERS, CHUNK = 64, 8, 100_000
-#: Word hashes that a worker remembers.
-REMEMBERED_WORDS = 300_000
+#: Word hashes that are remembered within a batch.
+REMEMBERED_WORDS = 100_000
 
 
 def fingerprint(text: bytes) -> int:
@@ -212,23 +212,19 @@ def near_groups(docs: DataFrame, id_col: str = ID, text_col: str = TEXT) -> Data
     return of_doc.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-_words: dict[bytes, int] = {}
-
-
-def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
-    """The distinct 64-bit hashes of all word shingles, ascending; a text of fewer words is one shingle."""
+def shingles(text: bytes, words: int = WORDS, known: dict[bytes, int] | None = None) -> np.ndarray:
+    """The distinct 64-bit hashes of all word shingles, ascending; a text of fewer words is one shingle. ``known``: word hashes to remember."""
     parts = text.lower().split()
     if not parts:
         return np.zeros(0, np.uint64)
-    if len(_words) > REMEMBERED_WORDS:
-        _words.clear()
-    known = _words.get
-    hashes = [known(w) for w in parts]
+    known = {} if known is None else known
+    if len(known) > REMEMBERED_WORDS:
+        known.clear()
+    hashes = [known.get(w) for w in parts]
     if None in hashes:
-        for w in set(parts):
-            if w not in _words:
-                _words[w] = xxhash.xxh64_intdigest(w, SEED)
-        hashes = [_words[w] for w in parts]
+        for w in set(parts).difference(known):
+            known[w] = xxhash.xxh64_intdigest(w, SEED)
+        hashes = [known[w] for w in parts]
     own = np.array(hashes, np.uint64)
     n = max(1, len(own) - words + 1)
     out = np.full(n, min(len(own), words), np.uint64)
@@ -279,10 +275,11 @@ def nodes_of(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
     """doc_id, node (its set), n (the size of it), bits (fingerprint, an array of longs, of which the first is the sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingles(t.as_py() or b"", words) for t in part.column(1)]
+                sets = [shingles(t.as_py() or b"", words, known) for t in part.column(1)]
                 bits = wide_fingerprints(sets, N_WORDS).view(np.int64)
                 offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * N_WORDS)
                 columns = [part.column(0), pa.array([set_id(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(bits.ravel()))]
