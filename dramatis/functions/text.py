@@ -14,6 +14,8 @@ EMAIL_ASSETS = r"\.(png|jpg|jpeg|gif|svg|webp)$"
 GENERAL_LOCALS = "info contact contacts office hello mail admin support sales marketing press pr hr secretary reception service reklama".split()
 PHONE_RU = r"(?U)\+?7[\s\-()]*\d{3}[\s\-()]*\d{3}[\s\-()]*\d{2}[\s\-()]*\d{2}"
 PHONE_PLAN = r"(?U)(?<![\d+])(?:\+7|8|7)?[\s\-()]*[3489]\d{2}[\s\-()]*\d{3}[\s\-()]*\d{2}[\s\-()]*\d{2}(?!\d)"
+PHONE_FOREIGN = r"\+(?!7)[1-9](?:[\s\-().]{0,3}\d){6,14}(?!\d)"
+COUNTRY_CODE = "1|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 INN_RU = r"(?iU)[Ии][Нн][Нн][\s\xa0\-:.()]*?(\d{10,12})\b"
 INN_EN = r"(?iU)\bINN[\s\-:]*?(\d{10,12})\b"
 INN_PAIR = r"(?iU)\b(\d{10})\s*[/\\]\s*\d{9}\b"
@@ -44,7 +46,9 @@ def all_matches(c: Column, pattern: str, group: int = 0) -> Column:
 
 def extract_emails(c: Column) -> Column:
     """Distinct lower-cased addresses in the order of their first appearance, without names of image files."""
-    return F.array_distinct(F.filter(F.transform(all_matches(c, EMAIL), F.lower), lambda e: ~F.rlike(e, F.lit(EMAIL_ASSETS))))
+    # Few texts hold an address, and the pattern starts anew at each character.
+    found = all_matches(F.when(c.contains("@"), c), EMAIL)
+    return F.array_distinct(F.filter(F.transform(found, F.lower), lambda e: ~F.rlike(e, F.lit(EMAIL_ASSETS))))
 
 
 def is_general(email: Column) -> Column:
@@ -76,17 +80,23 @@ def company_email(emails: Column) -> Column:
     return first_or_empty(general_emails(emails), emails)
 
 
-def extract_phones(c: Column, mode: str = "regex") -> Column:
-    """Distinct Russian phone numbers.
+def extract_phones(c: Column, mode: str = "plan") -> Column:
+    """Distinct phone numbers in the order of their first appearance.
 
-    ``regex``: a 7 and ten digits, shown as +7 (XXX) XXX-XX-XX. ``plan``: ten national digits that begin with 3, 4,
-    8 or 9, with or without 7, +7 or 8, shown as +7 XXX XXX-XX-XX, an approximation of the numbering plan.
+    ``plan``, an approximation of the numbering plan: ten national digits that begin with 3, 4, 8 or 9, with or without 7, +7
+    or 8, shown as +7 XXX XXX-XX-XX; and numbers of other countries, which need a +, shown as the country code and the groups
+    as they are written. ``regex``: only a 7 and ten digits, shown as +7 (XXX) XXX-XX-XX.
     """
-    digits = F.transform(all_matches(c, PHONE_RU if mode == "regex" else PHONE_PLAN), lambda p: F.regexp_replace(p, r"\D", ""))
-    national = F.transform(F.filter(digits, lambda d: (F.length(d) == 11) if mode == "regex" else F.length(d) >= 10), lambda d: F.right(d, F.lit(10)))
-    area, rest = (r"($1) ", "$2-$3-$4") if mode == "regex" else ("$1 ", "$2-$3-$4")
-    shown = F.transform(national, lambda d: F.concat(F.lit("+7 "), F.regexp_replace(d, r"^(\d{3})(\d{3})(\d{2})(\d{2})$", area + rest)))
-    return F.array_distinct(shown)
+    if mode == "regex":
+        digits = F.filter(F.transform(all_matches(c, PHONE_RU), lambda p: F.regexp_replace(p, r"\D", "")), lambda d: F.length(d) == 11)
+        return F.array_distinct(F.transform(digits, lambda d: F.regexp_replace(d, r"^\d(\d{3})(\d{3})(\d{2})(\d{2})$", "+7 ($1) $2-$3-$4")))
+
+    def shown(p: Column) -> Column:
+        russian = F.regexp_replace(F.right(F.regexp_replace(p, r"\D", ""), F.lit(10)), r"^(\d{3})(\d{3})(\d{2})(\d{2})$", "+7 $1 $2-$3-$4")
+        groups = F.trim(F.regexp_replace(p, r"\D+", " "))
+        return F.when(F.rlike(p, F.lit(r"^\+[^7]")), F.concat(F.lit("+"), F.regexp_replace(groups, f"^({COUNTRY_CODE}) ?", "$1 "))).otherwise(russian)
+
+    return F.array_distinct(F.transform(all_matches(c, f"{PHONE_PLAN}|{PHONE_FOREIGN}"), shown))
 
 
 def extract_inn(c: Column) -> Column:

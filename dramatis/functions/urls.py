@@ -81,11 +81,19 @@ def root(url: Column) -> Column:
     return F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
 
 
+def absolute(base: Column, href: Column) -> Column:
+    """``href`` resolved against ``base``, without its fragment; null where it can't be. Paths from the root, the usual case, are put together in the JVM."""
+    plain = F.rlike(base, F.lit("^https?://")) & F.rlike(href, F.lit(r"^/([^/]|$)")) & ~F.rlike(href, F.lit(r"/\.{1,2}([/?#]|$)|\?(#|$)|[\x00-\x20;]"))
+    return F.when(plain, F.concat(root(base), F.regexp_replace(href, "(?s)#.*$", ""))).otherwise(_resolved(base, F.when(~F.coalesce(plain, F.lit(False)), F.coalesce(href, F.lit("")))))
+
+
 @F.arrow_udf(StringType())
-def absolute(base: pa.Array, href: pa.Array) -> pa.Array:
-    """``href`` resolved against ``base``, without its fragment; null where it can't be."""
+def _resolved(base: pa.Array, href: pa.Array) -> pa.Array:
+    """By the standard rules, for what is not null."""
 
     def one(b: str | None, h: str | None) -> str | None:
+        if h is None:
+            return None
         try:
             return urldefrag(urljoin(b or "", h or ""))[0]
         except ValueError:

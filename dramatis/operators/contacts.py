@@ -42,14 +42,14 @@ def look_ahead(lines: Column) -> Column:
     return let(marks, pairs)
 
 
-def from_lines(lines: Column, phones: str = "regex") -> Column:
+def from_lines(lines: Column, phones: str = "plan") -> Column:
     return F.transform(
         look_ahead(lines),
         lambda p: _contact(first_name(F.get(lines, p["j"])), F.btrim(F.get(lines, p["i"]), F.lit(TITLE_EDGE)), F.array_join(F.slice(lines, p["j"] + 1, SCOPE), " \n"), phones),
     )
 
 
-def from_blocks(blocks: Column, phones: str = "regex") -> Column:
+def from_blocks(blocks: Column, phones: str = "plan") -> Column:
     """One contact per card that holds a title and a valid name."""
     pattern = rf"(?iU)\b({'|'.join(MARKERS)})\b"
 
@@ -70,7 +70,7 @@ def first_of_each(contacts: Column) -> Column:
     return let(contacts, lambda a: let(F.transform(a, key), lambda keys: F.filter(a, lambda c, i: F.array_position(keys, key(c)) == i + 1)))
 
 
-def page_contacts(page: Column, phones: str = "regex") -> Column:
+def page_contacts(page: Column, phones: str = "plan") -> Column:
     """All contacts of a parsed page."""
     flat = first_of_each(from_lines(page["lines"], phones))
     return let(flat, lambda a: F.when(F.size(a) > 0, a).otherwise(first_of_each(from_blocks(page["blocks"], phones))))

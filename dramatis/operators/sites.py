@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dramatis.functions import company as C
 from dramatis.functions import names, text
@@ -17,6 +18,7 @@ from dramatis.functions.binding import let
 from dramatis.functions.positions import route
 from dramatis.operators.contacts import page_contacts
 from dramatis.operators.dedup import dedup, dedup_key
+from dramatis.operators.frontier import DEPTH
 from dramatis.operators.resolve import matches_targets, with_positions
 from dramatis.sources.catalog import OTHERS
 from dramatis.sources.html import parse_page
@@ -27,7 +29,7 @@ COMPANY_ONLY = {"role_category": "Компания (без контактног
 TITLE_ONLY = "Должность без ФИО"
 
 
-def page_company(page: Column, phones: str = "regex") -> Column:
+def page_company(page: Column, phones: str = "plan") -> Column:
     """struct of the company facts of a parsed page."""
     found = F.concat(page["json_ld"], F.array_compact(F.array(page["site_name"], page["organization"], F.nullif(page["title"], F.lit("")))))
     scope = C.text_scope(page["footer_text"], page["body_text"])
@@ -54,14 +56,17 @@ def has_company_data() -> Column:
 
 
 def site_socials() -> Column:
-    """Aggregate: the first so many of a site's links, in order of name."""
-    return F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("socials")))), 1, text.MAX_SOCIALS)
+    """Aggregate: the first so many of a site's links, in order of name. A page gives no more than that many."""
+    of_page = F.slice(F.array_sort("socials"), 1, text.MAX_SOCIALS)
+    return F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(of_page)))), 1, text.MAX_SOCIALS)
 
 
-def site_facts(pages: DataFrame, keys: list[str], phones: str = "regex") -> DataFrame:
-    """One row per site: merged facts, social links, raw contacts in page order, pages visited."""
+def site_facts(pages: DataFrame, keys: list[str], phones: str = "plan", depth: int = DEPTH["all_contacts"]) -> DataFrame:
+    """One row per site: merged facts, social links, raw contacts in page order, pages visited; of its first ``depth`` pages, which bounds what one row gathers."""
     read = pages.where(F.coalesce(F.col("html"), F.lit("")) != "").withColumn("page", parse_page(F.col("html")))
     parts = read.select(*keys, "page_ord", "page_url", page_company(F.col("page"), phones).alias("company"), page_contacts(F.col("page"), phones).alias("found"), text.extract_social_links(F.col("html")).alias("socials"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("page_ord", "page_url"))
+    parts = parts.withColumn("place", place).where(F.col("place") <= depth)
     found = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("page_ord", "page_url", "found"))), lambda p: F.transform(p["found"], lambda c: F.struct(p["page_url"].alias("page_url"), *[c[f].alias(f) for f in ("full_name", "position_raw", "person_email", "person_phone")]))))
     return parts.groupBy(*keys).agg(
         *[merged(f) for f in FACTS], F.min_by("page_url", "page_ord").alias("site_url"), F.count(F.lit(1)).alias("pages_visited"),
@@ -100,7 +105,7 @@ def company_only(sites: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("dedup_key", dedup_key())
 
 
-def extract_sites(pages: DataFrame, keys: list[str] | None = None, targets: list[str] | None = None, phones: str = "regex", fuzzy: bool = True) -> DataFrame:
+def extract_sites(pages: DataFrame, keys: list[str] | None = None, targets: list[str] | None = None, phones: str = "plan", fuzzy: bool = True) -> DataFrame:
     """Contacts of all sites from pages (keys..., page_ord, page_url, html).
 
     The facts of sites, and the people found, are written to shared storage: both are used twice, and pages are parsed once.

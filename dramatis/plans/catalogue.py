@@ -67,15 +67,24 @@ def _(spark, d):
     return read(spark, d, "documents").select("doc_id", text.joined(text.extract_emails(F.col("text"))).alias("emails"))
 
 
-@query("email_split", f"WITH e AS (SELECT doc_id, {emails_of('text')} AS l FROM documents), u AS (SELECT doc_id, {uniq('l')} AS l FROM e) SELECT doc_id, array_to_string(list_filter(l, lambda e: {GENERAL}), ',') AS general, array_to_string(list_filter(l, lambda e: NOT {GENERAL}), ',') AS personal FROM u")
+#: Every seventh document with general addresses besides its own text.
+WITH_MAIL = "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN concat(text, ' Info@firm', doc_id, '.ru, ivan.petrov@firm.ru and SALES@firm', doc_id % 5, '.ru logo@2x.png') ELSE text END AS text FROM documents"
+
+
+def with_mail(spark: SparkSession, d: str) -> DataFrame:
+    read(spark, d, "documents").createOrReplaceTempView("documents_mail")
+    return spark.sql(WITH_MAIL.replace("FROM documents", "FROM documents_mail"))
+
+
+@query("email_split", f"WITH e AS (SELECT doc_id, {emails_of('text')} AS l FROM ({WITH_MAIL})), u AS (SELECT doc_id, {uniq('l')} AS l FROM e) SELECT doc_id, array_to_string(list_filter(l, lambda e: {GENERAL}), ',') AS general, array_to_string(list_filter(l, lambda e: NOT {GENERAL}), ',') AS personal FROM u")
 def _(spark, d):
-    found = read(spark, d, "documents").select("doc_id", text.extract_emails(F.col("text")).alias("e"))
+    found = with_mail(spark, d).select("doc_id", text.extract_emails(F.col("text")).alias("e"))
     return found.select("doc_id", text.joined(text.general_emails(F.col("e"))).alias("general"), text.joined(text.personal_emails(F.col("e"))).alias("personal"))
 
 
-@query("email_choose", f"WITH e AS (SELECT doc_id, {emails_of('text')} AS l FROM documents), u AS (SELECT doc_id, l, list_filter(l, lambda e: {GENERAL}) AS g, list_filter(l, lambda e: NOT {GENERAL}) AS p FROM e) SELECT doc_id, coalesce(p[1], l[1], '') AS person_email, coalesce(g[1], l[1], '') AS company_email FROM u")
+@query("email_choose", f"WITH e AS (SELECT doc_id, {emails_of('text')} AS l FROM ({WITH_MAIL})), u AS (SELECT doc_id, l, list_filter(l, lambda e: {GENERAL}) AS g, list_filter(l, lambda e: NOT {GENERAL}) AS p FROM e) SELECT doc_id, coalesce(p[1], l[1], '') AS person_email, coalesce(g[1], l[1], '') AS company_email FROM u")
 def _(spark, d):
-    found = read(spark, d, "documents").select("doc_id", text.extract_emails(F.col("text")).alias("e"))
+    found = with_mail(spark, d).select("doc_id", text.extract_emails(F.col("text")).alias("e"))
     return found.select("doc_id", text.person_email(F.col("e")).alias("person_email"), text.company_email(F.col("e")).alias("company_email"))
 
 
@@ -89,21 +98,49 @@ PHONE = text.PHONE_RU.removeprefix("(?U)")
 
 @query("phone_extract", rf"WITH p AS (SELECT doc_id, list_transform(list_filter(list_transform(regexp_extract_all(text, '{PHONE}'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: len(x) = 11), lambda x: '+7 (' || x[2:4] || ') ' || x[5:7] || '-' || x[8:9] || '-' || x[10:11]) AS l FROM documents) SELECT doc_id, array_to_string({uniq('l')}, ',') AS phones FROM p")
 def _(spark, d):
-    return read(spark, d, "documents").select("doc_id", text.joined(text.extract_phones(F.col("text"))).alias("phones"))
+    return read(spark, d, "documents").select("doc_id", text.joined(text.extract_phones(F.col("text"), "regex")).alias("phones"))
+
+
+#: Phones as people write them, and what the numbering plan makes of them, worked out by hand.
+PHONES = {
+    "8 (495) 123-45-67, 8-800-555-35-35, +49 30 123456, +7 495 123-45-67": "+7 495 123-45-67,+7 800 555-35-35,+49 30 123456",
+    "Звоните: +7 (495) 123-45-67 или 8 800 555 35 35": "+7 495 123-45-67,+7 800 555-35-35",
+    "тел. (812) 765-43-21": "+7 812 765-43-21",
+    "+4930123456; +1 (212) 555-0123; +375 29 123-45-67": "+49 30123456,+1 212 555 0123,+375 29 123 45 67",
+    "ИНН 7701234567890": "",
+    "no phone 12-34": "",
+}
+
+
+@query("phone_plan", f"SELECT * FROM (VALUES {', '.join(f'({k}, {lit([v])})' for k, v in enumerate(PHONES.values()))}) t(k, phones)")
+def _(spark, d):
+    rows = spark.createDataFrame(list(enumerate(PHONES)), "k int, text string")
+    return rows.select("k", text.joined(text.extract_phones(F.col("text"))).alias("phones"))
 
 
 def _re2(pattern: str) -> str:
     return pattern.replace("(?iU)", "(?i)").replace("(?U)", "").replace(r"\xa0", r"\x{a0}")
 
 
-@query("inn_extract", f"WITH p AS (SELECT doc_id, list_filter(list_concat(list_concat(regexp_extract_all(text, '{_re2(text.INN_RU)}', 1), regexp_extract_all(text, '{_re2(text.INN_EN)}', 1)), regexp_extract_all(text, '{_re2(text.INN_PAIR)}', 1)), lambda x: len(x) IN (10, 12)) AS l FROM documents) SELECT doc_id, array_to_string({uniq('l')}, ',') AS inn FROM p")
+#: Customers with tax identifiers in the usual forms, and in forms that are none.
+TAX = """SELECT c_custkey AS ord, CASE c_custkey % 6 WHEN 0 THEN concat('ИНН 77', lpad(CAST(c_custkey AS {S}), 8, '0'), ', КПП 7701', lpad(CAST(c_custkey % 90000 AS {S}), 5, '0'))
+  WHEN 1 THEN concat('INN: 50', lpad(CAST(c_custkey AS {S}), 10, '0'), ' и инн: 7700000001') WHEN 2 THEN concat('78', lpad(CAST(c_custkey AS {S}), 8, '0'), ' / 780101001 кпп: 780101001, КПП (780101002)')
+  WHEN 3 THEN concat('ИНН 123456789', c_custkey % 10, '1 и ИНН12') WHEN 4 THEN concat('ИНН: 7712345678 ИНН 7712345678 КПП 77', c_custkey % 10) ELSE 'нет' END AS text FROM customer"""
+
+
+def tax(spark: SparkSession, d: str) -> DataFrame:
+    read(spark, d, "customer").createOrReplaceTempView("customer_tax")
+    return spark.sql(TAX.format(S="STRING").replace("FROM customer", "FROM customer_tax"))
+
+
+@query("inn_extract", f"WITH p AS (SELECT ord, list_filter(list_concat(list_concat(regexp_extract_all(text, '{_re2(text.INN_RU)}', 1), regexp_extract_all(text, '{_re2(text.INN_EN)}', 1)), regexp_extract_all(text, '{_re2(text.INN_PAIR)}', 1)), lambda x: len(x) IN (10, 12)) AS l FROM ({TAX.format(S='VARCHAR')})) SELECT ord, array_to_string({uniq('l')}, ',') AS inn FROM p")
 def _(spark, d):
-    return read(spark, d, "documents").select("doc_id", text.joined(text.extract_inn(F.col("text"))).alias("inn"))
+    return tax(spark, d).select("ord", text.joined(text.extract_inn(F.col("text"))).alias("inn"))
 
 
-@query("kpp_extract", f"WITH p AS (SELECT doc_id, regexp_extract_all(text, '{_re2(text.KPP)}', 1) AS l FROM documents) SELECT doc_id, array_to_string({uniq('l')}, ',') AS kpp FROM p")
+@query("kpp_extract", f"WITH p AS (SELECT ord, regexp_extract_all(text, '{_re2(text.KPP)}', 1) AS l FROM ({TAX.format(S='VARCHAR')})) SELECT ord, array_to_string({uniq('l')}, ',') AS kpp FROM p")
 def _(spark, d):
-    return read(spark, d, "documents").select("doc_id", text.joined(text.extract_kpp(F.col("text"))).alias("kpp"))
+    return tax(spark, d).select("ord", text.joined(text.extract_kpp(F.col("text"))).alias("kpp"))
 
 
 # Pages and URLs.
@@ -152,7 +189,22 @@ def _(spark, d):
     return cut.select("page_id", U.with_scheme(F.col("u")).alias("url"))
 
 
-LINKS = r"""WITH a AS (SELECT page_id, url AS base_url, unnest(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>[^<]*</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*"[^>]*>([^<]*)</a>', 1)) AS anchor FROM pages)"""
+#: Every second page with a menu: ties, repeated and foreign links, and more than are followed.
+MENU = "CASE WHEN page_id % 2 = 0 THEN concat(html, '" + "".join(
+    f'<a href="{href}">{anchor}</a>' for href, anchor in [
+        ("/team/b", "Our team"), ("/team/a", "Our team"), ("/contacts#map", "Contacts"), ("/contacts", "Contacts"), ("mailto:a@b.ru", "Contact us"), ("https://other.example/team", "team"),
+        ("/management", "Leadership"), ("/price", "Price list"), ("/about/us?x=1#y", "About"), *[(f"/news/{k}", "News") for k in range(12)],
+    ]
+) + "') ELSE html END"
+LINKED = f"(SELECT page_id, url, {MENU} AS html FROM pages)"
+
+
+def linked(spark: SparkSession, d: str) -> DataFrame:
+    pages = read(spark, d, "pages").withColumn("html", F.expr(MENU))
+    return pages.select("page_id", "url", html.parse_page(F.col("html")).alias("page"))
+
+
+LINKS = rf"""WITH a AS (SELECT page_id, url AS base_url, unnest(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>[^<]*</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*"[^>]*>([^<]*)</a>', 1)) AS anchor FROM {LINKED})"""
 ABSOLUTE = "CASE WHEN regexp_matches(href, '^[a-z]+:') THEN href ELSE regexp_extract(base_url, '^[a-z]+://[^/?#]*') || regexp_replace(href, '#.*$', '') END"
 SCORE = " + ".join(f"CASE WHEN regexp_matches(lower(link), '{stems}') THEN {points} ELSE 0 END" for points, stems in U.SCORES.items())
 SCORED = rf"""{LINKS}, k AS (SELECT DISTINCT page_id, base_url, {ABSOLUTE} AS link FROM a WHERE href <> '' AND NOT regexp_matches(href, '{U.SKIPPED_LINKS}') AND regexp_matches(anchor || ' ' || href, '(?i)({U.KEYWORDS})')),
@@ -161,17 +213,17 @@ s AS (SELECT page_id, base_url, link, CAST({SCORE} AS INTEGER) AS score FROM k W
 
 @query("links_explode", f"{LINKS} SELECT page_id, href, trim(anchor) AS anchor FROM a")
 def _(spark, d):
-    return parsed(spark, d).select("page_id", F.explode(F.arrays_zip(F.col("page.hrefs").alias("href"), F.col("page.anchors").alias("anchor"))).alias("a")).select("page_id", "a.*")
+    return linked(spark, d).select("page_id", F.explode(F.arrays_zip(F.col("page.hrefs").alias("href"), F.col("page.anchors").alias("anchor"))).alias("a")).select("page_id", "a.*")
 
 
 @query("links_scored", f"{SCORED} SELECT page_id, base_url, link, score FROM s")
 def _(spark, d):
-    return fr.page_links(parsed(spark, d))
+    return fr.page_links(linked(spark, d))
 
 
 @query("frontier_topk", f"{SCORED}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, link) AS INTEGER) AS rank FROM s) SELECT page_id, base_url, link, score, rank FROM r WHERE rank <= 14")
 def _(spark, d):
-    return fr.ranked_links(fr.page_links(parsed(spark, d)), limit=fr.DEPTH["all_contacts"] - 1)
+    return fr.ranked_links(fr.page_links(linked(spark, d)), limit=fr.DEPTH["all_contacts"] - 1)
 
 
 @query("guess_urls", f"SELECT page_id, url AS base_url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') || p.path AS link, CAST(p.pos AS INTEGER) AS rank FROM pages, (SELECT unnest([{lit(U.GUESSED_PATHS)}]) AS path, unnest(range(1, {len(U.GUESSED_PATHS) + 1})) AS pos) p")
@@ -183,7 +235,7 @@ def _(spark, d):
 g AS (SELECT page_id, url, unnest([{lit(U.GUESSED_PATHS[:5])}]) AS path, unnest(range(1, 6)) AS pos FROM pages WHERE page_id NOT IN (SELECT page_id FROM near))
 SELECT page_id, CAST(0 AS INTEGER) AS page_ord, url AS page_url FROM pages UNION ALL SELECT page_id, rank, link FROM near UNION ALL SELECT page_id, CAST(pos AS INTEGER), regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') || path FROM g""")
 def _(spark, d):
-    return fr.frontier(parsed(spark, d), "fast_start")
+    return fr.frontier(linked(spark, d), "fast_start")
 
 
 # Lines and look-ahead; a title is a line that begins with a vowel here, since the tables hold none.
@@ -418,9 +470,13 @@ def _(spark, d):
 
 
 @query("summary_kv", f"""WITH c AS ({derived.CONTACTS}), t AS (SELECT count(*) AS a, count(DISTINCT nullif(domain, '')) AS b, count(*) FILTER (WHERE full_name <> '') AS c, count(*) FILTER (WHERE person_email <> '') AS d, count(*) FILTER (WHERE person_phone <> '') AS e, count(*) FILTER (WHERE inn <> '') AS f FROM c)
-SELECT label, CAST(value AS VARCHAR) AS value FROM (SELECT unnest(['Всего записей', 'Уникальных доменов', 'С ФИО', 'С личным email', 'С личным телефоном', 'С ИНН']) AS label, unnest([a, b, c, d, e, f]) AS value FROM t)""")
+SELECT CAST(pos AS INTEGER) AS pos, label, CAST(value AS VARCHAR) AS value FROM (SELECT unnest(range(10, 16)) AS pos, unnest(['Всего записей', 'Уникальных доменов', 'С ФИО', 'С личным email', 'С личным телефоном', 'С ИНН']) AS label, unnest([a, b, c, d, e, f]) AS value FROM t)
+UNION ALL SELECT * FROM (VALUES (0, 'Задача', 't7'), (1, 'Создано', '2024-01-01'), (2, 'Статус', 'done'), (3, 'Всего URL', '9'), (4, 'Обработано URL', '8'), (5, '', '')) h(pos, label, value)
+UNION ALL SELECT CAST(20 + s.pos AS INTEGER), 'Лист: ' || s.sheet, CAST(count(b.sheet) AS VARCHAR) FROM (SELECT unnest([{lit(catalog.SHEETS)}]) AS sheet, unnest(range(0, 5)) AS pos) s LEFT JOIN (SELECT {BUCKET} AS sheet FROM c) b USING (sheet) GROUP BY s.pos, s.sheet
+UNION ALL SELECT CAST(30 + s.pos AS INTEGER), 'Норм. ' || s.method, CAST(count(b.method) AS VARCHAR) FROM (SELECT unnest([{lit(catalog.METHODS)}]) AS method, unnest(range(0, 5)) AS pos) s LEFT JOIN (SELECT norm_method AS method FROM c) b USING (method) GROUP BY s.pos, s.method""")
 def _(spark, d):
-    return reports.summary(derived.contacts(spark, d), {}).where("pos BETWEEN 10 AND 15").select("label", "value")
+    task = {"task_id": "t7", "created_at": "2024-01-01", "status": "done", "total_urls": 9, "processed_urls": 8}
+    return reports.summary(derived.contacts(spark, d), task)
 
 
 RANK = "CASE norm_method " + " ".join(f"WHEN '{m}' THEN {r}" for m, r in reports.QUALITY_ORDER.items()) + " ELSE 99 END"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dramatis.sources.catalog import METHODS, OTHERS, SHEETS, positions
+from dramatis.sources.scratch import kept
 
 # Headers and widths of the report.
 HEADERS = [
@@ -32,18 +33,36 @@ def bucket(contacts: DataFrame, name: str) -> DataFrame:
     return contacts.where(sheet_name() == name)
 
 
+def row_numbers(rows: DataFrame, order: str, group: str | None = None) -> DataFrame:
+    """``rows`` with ``n``, their number from 1 in ``order`` (within ``group``, of which there are few values).
+
+    Rows are range-partitioned and numbered within their partition; the counts of the partitions, a few numbers, give what comes before.
+    """
+    keys = [group] if group else []
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = kept(rows.repartitionByRange(width, *keys, order).withColumn("__part", F.spark_partition_id()), "numbered")
+    before, seen = [], {}
+    for r in sorted(placed.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["__part"]):
+        key = r[group] if group else None
+        before.append((key, r["__part"], seen.get(key, 0)))
+        seen[key] = seen.get(key, 0) + r["n"]
+    offsets = rows.sparkSession.createDataFrame(before, "__group string, __of int, __before long")
+    own = (F.col("__part") == F.col("__of")) & (F.col(group).eqNullSafe(F.col("__group")) if group else F.lit(True))
+    within = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(order))
+    return placed.withColumn("n", within).join(F.broadcast(offsets), own).withColumn("n", (F.col("n") + F.col("__before")).cast("int")).select(*rows.columns, "n")
+
+
 def numbered(contacts: DataFrame, order: str = "ord") -> DataFrame:
     """Contacts with their number within their sheet, from 1."""
-    return contacts.withColumn("sheet", sheet_name()).withColumn("n", F.row_number().over(Window.partitionBy("sheet").orderBy(order)))
+    return row_numbers(contacts.withColumn("sheet", sheet_name()), order, "sheet")
 
 
 def contact_rows(contacts: DataFrame, order: str, scan_date: str) -> DataFrame:
-    """The 24 columns of the report, numbered from 1. Numbering a whole report is a single sequence, as the workbook asks."""
+    """The 24 columns of the report, numbered from 1, in order."""
     extra = {"social_links": F.array_join(F.coalesce("social_links", F.array().cast("array<string>")), "\n"), "scan_date": F.lit(scan_date), "status": F.coalesce(F.nullif("status", F.lit("")), F.lit("ok"))}
     if "scan_date" in contacts.columns:
         extra["scan_date"] = F.coalesce(F.col("scan_date").cast("string"), F.lit(scan_date))
-    n = F.row_number().over(Window.orderBy(order))
-    return contacts.select(n.alias("n"), *[extra.get(c, _text(c) if c in contacts.columns else F.lit("")).alias(c) for c in FIELDS]).orderBy("n")
+    return row_numbers(contacts, order).select("n", *[extra.get(c, _text(c) if c in contacts.columns else F.lit("")).alias(c) for c in FIELDS]).orderBy("n")
 
 
 def totals(contacts: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def test_emails(spark):
 
 
 def test_phones(spark):
-    regex, plan = apply(spark, ["+7 (495) 123-45-67 or 74951234567", "8 800 555 35 35", "nothing"], text.extract_phones(V), text.extract_phones(V, "plan"))
+    regex, plan = apply(spark, ["+7 (495) 123-45-67 or 74951234567", "8 800 555 35 35", "nothing"], text.extract_phones(V, "regex"), text.extract_phones(V))
     assert regex == [["+7 (495) 123-45-67"], [], []]
     assert plan == [["+7 495 123-45-67"], ["+7 800 555-35-35"], []]
 

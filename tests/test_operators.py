@@ -44,7 +44,7 @@ def look(spark, lines):
 
 def test_look_ahead(spark):
     lines = ["Главный инженер", "Иванов Иван Иванович", "+7 (495) 123-45-67", "ivanov@a.ru"]
-    assert look(spark, lines) == [("Иванов Иван Иванович", "Главный инженер", "ivanov@a.ru", "+7 (495) 123-45-67")]
+    assert look(spark, lines) == [("Иванов Иван Иванович", "Главный инженер", "ivanov@a.ru", "+7 495 123-45-67")]
     assert [x[:2] for x in look(spark, ["Главный инженер", "Директор завода", "Петров Петр"])] == [("Петров Петр", "Главный инженер")]
     assert look(spark, ["Главный инженер", "-", "-", "-", "Петров Петр"]) == [] and look(spark, []) == []
 
@@ -137,6 +137,35 @@ def test_reports_and_workbook(spark, tmp_path):
     assert not list((tmp_path / "contacts").glob("task_id=*"))
 
 
+def test_depth_of_a_site(spark):
+    """Only the first pages of a site are gathered, and of its social links the first by name."""
+    rows = [(1, k, f"https://a.ru/{k:02}", page(f"<p>https://vk.com/u{99 - k}</p><footer>{'ИНН 7701234567' if k == 40 else ''}</footer>")) for k in range(60)]
+    facts = sites.site_facts(sites_frame(spark, rows).repartition(4), ["site_id"]).first()
+    assert (facts.pages_visited, facts.inn, facts.site_url) == (15, "", "https://a.ru/00")
+    assert facts.social_links == sorted(f"https://vk.com/u{99 - k}" for k in range(15))
+
+
+def test_links_resolve_as_by_the_standard_rules(spark):
+    from urllib.parse import urldefrag, urljoin
+
+    from dramatis.functions import urls
+
+    hrefs = ["/a", "/a#b", "/", "/a?x=1#y", "//c.ru/d", "a/b", "../x", "/../x", "/a/./b", "/a?", "?q", "#z", "", "https://d.ru/e", "/a b", "/a;p", "/x/..", "/..a", "/a//b", "/é"]
+    bases = ["https://a.ru/x/y", "http://b.ru", "HTTPS://C.ru/z"]
+    frame = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "b string, h string")
+    assert {(r.b, r.h): r.u for r in frame.select("b", "h", urls.absolute(F.col("b"), F.col("h")).alias("u")).collect()} == {(b, h): urldefrag(urljoin(b, h))[0] for b in bases for h in hrefs}
+
+
+def test_row_numbers(spark):
+    rows = spark.range(500).select((F.col("id") * 37 % 500).alias("ord"), F.when(F.col("id") % 10 == 0, "a").otherwise("b").alias("sheet")).repartition(4)
+    assert all(r.n == r.ord + 1 for r in reports.row_numbers(rows, "ord").collect())
+    of = {}
+    for r in sorted(reports.row_numbers(rows, "ord", "sheet").collect(), key=lambda r: r.ord):
+        of.setdefault(r.sheet, []).append(r.n)
+    assert {k: v == list(range(1, len(v) + 1)) for k, v in of.items()} == {"a": True, "b": True}
+    assert reports.row_numbers(rows.limit(0), "ord").count() == 0
+
+
 def test_uploads_and_updates(spark):
     got = uploads.parse_lines(spark.createDataFrame([("﻿url",), ("a.ru",), ("a.ru",), ("#c",), ("x, b.ru",)], "value string")).collect()
     assert [r.url for r in got] == ["https://a.ru", "https://a.ru", "https://b.ru"]
