@@ -58,9 +58,14 @@ def ranges(points: Iterable[int]) -> str:
 
 
 @cache
-def unassigned() -> re.Pattern:
-    """Any character that Python's tables don't know."""
-    return re.compile(f"[{ranges(p for p in EVERY if unicodedata.category(chr(p)) == 'Cn')}]")
+def suspects() -> re.Pattern:
+    """Any character that Python's tables may not know: all beyond U+FFFF, so that the class is one bitmap and one range."""
+    return re.compile(f"[{ranges(p for p in range(0x10000) if unicodedata.category(chr(p)) == 'Cn')}\U00010000-\U0010ffff]")
+
+
+def has_unassigned(text: str) -> bool:
+    """Whether Python's tables don't know some character of ``text``."""
+    return not text.isascii() and suspects().search(text) is not None and any(unicodedata.category(c) == "Cn" for c in set(text))
 
 
 def byte_letters() -> list[str]:
@@ -288,7 +293,7 @@ class WordBpe:
     def lowered(self, text: str) -> str:
         """Normalised but for white space."""
         if not text.isascii():
-            if unassigned().search(text):
+            if has_unassigned(text):
                 return self.exact_normalizer.normalize_str(text)
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:
@@ -300,7 +305,7 @@ class WordBpe:
         """Words of a normalised piece of text without white space or special tokens."""
         if piece.isalpha():
             return [piece]
-        return (self.word if piece.isascii() or not unassigned().search(piece) else self.exact_word).findall(piece)
+        return (self.exact_word if has_unassigned(piece) else self.word).findall(piece)
 
     def pieces(self, text: str) -> Iterator[tuple[str | None, int]]:
         """(text between special tokens, 0) and (None, id of a special token), in order."""
