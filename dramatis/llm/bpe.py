@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dramatis.llm.common import ID, TEXT, slices, table
+from dramatis.llm.common import ID, TEXT, give_back, slices, table
 
 NO_RANK = 1 << 60
 #: Remembered pieces per worker (about 200 bytes each), and the longest piece that is remembered.
@@ -405,7 +405,7 @@ def renderer(path: str, kind: str) -> Renderer:
 
 
 #: Characters of the texts that are encoded together.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 
 def blocks(texts: Iterable[str]) -> Iterator[list[str]]:
@@ -418,6 +418,7 @@ def blocks(texts: Iterable[str]) -> Iterator[list[str]]:
         if held >= BLOCK:
             yield run
             run, held = [], 0
+            give_back()
     if run:
         yield run
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,7 +17,7 @@ ID, TEXT = "doc_id", "text"
 #: Ids that may be broadcast, a few MB; beyond, rows are joined by a shuffle.
 BROADCAST_IDS = 200_000
 #: Bytes of an Arrow batch: texts are long, and each Python worker holds a batch several times over.
-BATCH_BYTES, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Of a sample of n, so many times n rows are drawn by hash before the n of least hash are taken.
 OVERSAMPLING, DRAW = 3, 1_000_003
 
@@ -33,11 +34,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return what Arrow and the allocator hold but do not use: a worker lives on, idle or in other stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def slices(array: pa.Array, rows: int = 512) -> Iterator[list]:
     """The values of an Arrow array some rows at a time, so that not all of a batch are Python objects at once."""
     for at in range(0, len(array), rows):
         yield array.slice(at, rows).to_pylist()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def mapped(array: pa.Array, of: Callable, kind: pa.DataType) -> pa.Array:
