@@ -11,6 +11,8 @@ from dramatis.functions.binding import let, literal_array
 
 # Separators, phrases and words that results depend on.
 ENTITIES = [("&nbsp;", " "), ("&quot;", '"'), ("&amp;", "&"), ("&laquo;", "«"), ("&raquo;", "»")]
+#: Of a title as it is written, the one entity that is resolved.
+AMPERSAND = [("&amp;", "&")]
 SEPARATORS = [" | ", " — ", " – ", " · ", " • ", " :: "]
 NOISE = [
     "руководство компании", "руководство", "наша команда", "команда", "контакты", "контакт", "о компании", "о нас", "главная страница",
@@ -66,6 +68,11 @@ def without_prefixes(s: Column) -> Column:
     return F.array_join(kept, " ")
 
 
+def written_title(source: Column) -> Column:
+    """A title as it is written, but for the spaces around it and ``AMPERSAND``."""
+    return F.replace(F.regexp_replace(source, r"^\p{Zs}+|\p{Zs}+$", ""), *[F.lit(x) for x in AMPERSAND[0]])
+
+
 def _named(body: Column) -> Column:
     """From what is left once noise and prefixes are gone."""
     final = lambda s: F.trim(F.concat(F.upper(F.left(s, F.lit(1))), F.substring(s, 2, 1_000_000)))
@@ -96,5 +103,10 @@ def text_scope(footer: Column, body: Column) -> Column:
     return F.coalesce(footer, F.right(F.coalesce(body, F.lit("")), F.lit(4000)))
 
 
+def told_language(lang: Column) -> Column:
+    """The language a page names; an empty string if it names none."""
+    return F.coalesce(F.lower(F.left(lang, F.lit(2))), F.lit(""))
+
+
 def language(lang: Column) -> Column:
-    return F.coalesce(F.lower(F.nullif(F.left(lang, F.lit(2)), F.lit(""))), F.lit("ru"))
+    return F.coalesce(F.nullif(told_language(lang), F.lit("")), F.lit("ru"))
