@@ -73,17 +73,22 @@ def written_title(source: Column) -> Column:
     return F.replace(F.regexp_replace(source, r"^\p{Zs}+|\p{Zs}+$", ""), *[F.lit(x) for x in AMPERSAND[0]])
 
 
+def upper_initial(letter: Column) -> Column:
+    """A letter's capital, if that is one letter; so ß has ẞ, and not SS."""
+    return let(F.upper(letter), lambda u: F.when(letter == "ß", "ẞ").when(F.length(u) > 1, letter).otherwise(u))
+
+
 def _named(body: Column) -> Column:
     """From what is left once noise and prefixes are gone."""
-    final = lambda s: F.trim(F.concat(F.upper(F.left(s, F.lit(1))), F.substring(s, 2, 1_000_000)))
+    final = lambda s: F.trim(F.concat(upper_initial(F.left(s, F.lit(1))), F.substring(s, 2, 1_000_000)))
     short = lambda n: F.when(F.length(n) > 120, F.regexp_replace(F.left(n, F.lit(120)), r"(?s) [^ ]*$", "")).otherwise(n)
     named = lambda n: F.when(F.rlike(body, F.lit(QUOTED)), F.trim(n)).otherwise(let(short(n), lambda s: let(final(s), lambda t: F.when(F.length(t) < 3, "").otherwise(t))))
     return F.when(F.lower(body).isin(JUNK), "").otherwise(let(upper_forms(body), named))
 
 
-def clean_company_name(raw: Column) -> Column:
-    """The name in a title or the like; an empty string if it holds none."""
-    s = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES, F.coalesce(raw, F.lit("")))
+def clean_company_name(raw: Column, entities: list[tuple[str, str]] = ENTITIES) -> Column:
+    """The name in a title or the like, in which ``entities`` are resolved; an empty string if it holds none."""
+    s = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), entities, F.coalesce(raw, F.lit("")))
 
     def of(rest: Column) -> Column:
         direct = F.regexp_extract(rest, FORM_AND_QUOTED, 1)
@@ -92,9 +97,9 @@ def clean_company_name(raw: Column) -> Column:
     return let(let(s, first_separated), lambda t: let(without_noise(t), of))
 
 
-def choose_company_name(candidates: Column) -> Column:
+def choose_company_name(candidates: Column, entities: list[tuple[str, str]] = ENTITIES) -> Column:
     """Of an array of candidates: the first that has a legal form once cleaned, else the first that is not empty, else an empty string."""
-    cleaned = F.filter(F.transform(candidates, clean_company_name), lambda c: c != "")
+    cleaned = F.filter(F.transform(candidates, lambda c: clean_company_name(c, entities)), lambda c: c != "")
     return let(cleaned, lambda a: F.coalesce(F.get(F.filter(a, lambda c: F.rlike(c, F.lit(HAS_FORM))), F.lit(0)), F.get(a, F.lit(0)), F.lit("")))
 
 

@@ -29,13 +29,14 @@ COMPANY_ONLY = {"role_category": "Компания (без контактног
 TITLE_ONLY = "Должность без ФИО"
 
 
-def page_company(page: Column, phones: str = "plan") -> Column:
-    """struct of the company facts of a parsed page."""
-    found = F.concat(page["json_ld"], F.array_compact(F.array(page["site_name"], page["organization"], F.nullif(page["title"], F.lit("")))))
+def page_company(page: Column, phones: str = "plan", as_written: bool = False) -> Column:
+    """struct of the company facts of a parsed page. ``as_written``: the title keeps its entities, but for ``&amp;``."""
+    title = page["title_source" if as_written else "title"]
+    found = F.concat(page["json_ld"], F.array_compact(F.array(page["site_name"], page["organization"], F.nullif(title, F.lit("")))))
     scope = C.text_scope(page["footer_text"], page["body_text"])
     email = let(text.extract_emails(scope), text.company_email)
     return F.struct(
-        C.choose_company_name(found).alias("company_name"),
+        C.choose_company_name(found, C.AMPERSAND if as_written else C.ENTITIES).alias("company_name"),
         text.first_or_empty(text.extract_inn(page["body_text"])).alias("inn"),
         text.first_or_empty(text.extract_kpp(page["body_text"])).alias("kpp"),
         email.alias("company_email"),

@@ -41,7 +41,7 @@ TITLES = [
 ]
 
 
-@pytest.mark.parametrize("name", ["page_title_lang"])
+@pytest.mark.parametrize("name", ["page_title_lang", "company_name_candidate"])
 def test_titles_as_written(spark, tmp_path, name):
     # A name's words are joined by single spaces, in the reference too, so a line break in it is no matter of its SQL.
     titles = [t for t in TITLES if name == "page_title_lang" or "line\n" not in t]
