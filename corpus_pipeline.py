@@ -1,8 +1,8 @@
 """The corpus pipeline: from raw documents to packed token sequences.
 
 Five stages, each on all that the one before it kept: documents whose language is not told go, then exact
-copies (the largest doc_id stays), then near copies (SimHash and covering masks over shingles of five words, links checked to have a Jaccard
-similarity of 0.8 or more; the smallest doc_id of each group stays), then secrets are replaced in the texts, and what is left is packed into sequences. All stages but the last return the columns of
+copies (the largest doc_id stays), then near copies (all texts of a Jaccard similarity of 0.8 or more over shingles of five words, by SimHash and covering masks,
+then by an exact pass over what is not linked yet; the smallest doc_id of each group stays), then secrets are replaced in the texts, and what is left is packed into sequences. All stages but the last return the columns of
 `documents`. Null and empty texts have no language, so they go in the first stage; extra columns are kept
 up to the last stage.
 """
