@@ -38,7 +38,7 @@ NO_RANK = 1 << 60
 #: Remembered pieces per worker (about 200 bytes each), and the longest piece that is remembered.
 REMEMBERED, LONGEST = 300_000, 48
 #: str.split() takes these four for white space; the tokenizer does not.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 MARK_AFTER_LETTER = re.compile(r"([,.;:!?])(?<=[^\W\d_][,.;:!?])(?=\s)")
 
 
@@ -319,7 +319,7 @@ class WordBpe:
     def split(self, text: str) -> list[str]:
         """Normalised pieces without white space. A single mark at the end of a word is a word, and a piece, of its own."""
         text = MARK_AFTER_LETTER.sub(r" \1", self.lowered(text))
-        return text.split() if not SEPARATORS.search(text) else [x for x in self.space.split(text) if x]
+        return text.split() if not any(x in text for x in SEPARATORS) else [x for x in self.space.split(text) if x]
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -364,19 +364,15 @@ class Renderer:
     def texts(self, texts: list[str]) -> list[bytes]:
         """Values of a block of whole texts. What is new to it is encoded at once; then all is looked up."""
         parts = [[(special, None if part is None else self.bpe.split(part)) for part, special in self.bpe.pieces(t)] for t in texts]
+        seen = set().union(*(pieces for text in parts for _, pieces in text if pieces))
         if len(self.known) >= REMEMBERED:  # what this block has as well is likely to come again
-            seen = set().union(*(pieces for text in parts for _, pieces in text if pieces))
             self.known = {p: self.known[p] for p in seen.intersection(self.known)}
-        known, get = self.known, self.known.get
-        found = [[(pieces, [self.special(special)] if pieces is None else [*map(get, pieces)]) for special, pieces in text] for text in parts]
-        unknown = {p for text in found for pieces, values in text if None in values for p, v in zip(pieces, values, strict=True) if v is None}
+        known, get = self.known, self.known.__getitem__
+        unknown = seen.difference(known)
         self.learn(unknown)
         out = []
-        for text in found:
-            values = [x for _, own in text for x in own] if len(text) > 1 else text[0][1]
-            if None in values:
-                pieces = [p for own, _ in text for p in ((None,) if own is None else own)] if len(text) > 1 else text[0][0]
-                values = [known[p] if v is None else v for p, v in zip(pieces, values, strict=True)]
+        for text in parts:
+            values = map(get, text[0][1]) if len(text) == 1 else [x for special, own in text for x in ([self.special(special)] if own is None else map(get, own))]
             # Without a joint, pieces that hold no word are no matter.
             out.append(self.joint.join(filter(None, values) if self.joint else values))
         for piece in unknown:
