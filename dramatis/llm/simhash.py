@@ -22,7 +22,8 @@ An exact pass then finds every pair that is left, so no link is lost whatever th
 similarity share a shingle among the first n - ceil(least * n) + 1 of each in any common order (shingles that a sample of texts holds often come last,
 then by hash; the sample decides how much work there is, not what is found). Texts that share one and whose components still differ
 are compared by size, by the place of the shingle, and by PARITY_BITS bits, each the parity of a share of the set's shingles: no more bits differ
-than shingles do, so none of these bounds drops a similar pair. What passes is checked by the full sets. Texts of one
+than shingles do, so none of these bounds drops a similar pair. That many bits say little of sets of more than twice as many shingles, so their pairs are
+compared by more parities next, half a bit or more a shingle (``undecided``). What passes is checked by the full sets, each of which is copied to all pairs that it is left in. Texts of one
 component are not compared, so copies are not expanded into all pairs; what is not in the component of most of a shingle's texts is held against cells of about BUCKET texts.
 
 Defined results: a null text counts as empty; texts without a word have fingerprint zero and link
@@ -60,6 +61,8 @@ SKETCH_FAR, ALL_FAR = 17, 62
 SAMPLED, LEADERS, CHUNK = 64, 8, 100_000
 #: Bits of a set's parities; texts of which shingles are counted for the order of the exact pass, the least count there, and shingles that are broadcast (under 1 MB).
 PARITY_BITS, ORDER_DOCS, ORDER_COUNT, ORDER_SHINGLES = 1024, 1500, 3, 50_000
+#: Links of which a task makes a forest (16 MB with their nodes' numbers).
+FOREST_LINKS = 500_000
 #: Word hashes that are remembered within a batch.
 REMEMBERED_WORDS = 100_000
 
@@ -184,6 +187,25 @@ def bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield links(held)
 
 
+def forest(links: DataFrame, scratch: Scratch, name: str, most: int = FOREST_LINKS) -> DataFrame:
+    """Links that connect the same nodes as ``links`` (a, b): of about ``most`` links a task, each node to the least of its component there.
+
+    A text of a large group has a link in each of many buckets; so one is left of these where a task holds the group, and never more than there were.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.stack([c.to_numpy() for c in batch.columns], 1) for batch in batches if batch.num_rows]
+        if not parts:
+            return
+        nodes, at = np.unique(np.concatenate(parts), return_inverse=True)
+        at = at.reshape(-1, 2)
+        label = least_labels(len(nodes), at[:, 0], at[:, 1])
+        child = np.flatnonzero(label != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[label[child]]), pa.array(nodes[child])], ["a", "b"])
+
+    return scratch.keep(links.repartition(1 + links.count() // most).mapInArrow(run, "a long, b long"), name)
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node and label (the least node reachable) of each node of ``links`` (a, b)."""
     both = scratch.keep(links.union(links.select("b", "a")).toDF("node", "next").distinct(), "both")
@@ -286,6 +308,24 @@ def parities(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8)).view(np.uint64).reshape(len(sets), -1)
 
 
+def wide_parities(of: np.ndarray) -> np.ndarray:
+    """The parities of one set over as many bits as half its shingles, rounded up to a power of two; none if PARITY_BITS are as many. Its halves' exclusive or is that over half the bits."""
+    if len(of) <= 2 * PARITY_BITS:
+        return np.zeros(0, np.uint64)
+    bits = 1 << ((len(of) + 1) // 2 - 1).bit_length()
+    counts = np.bincount((mixed(of + np.uint64(SEED)) % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.uint64)
+
+
+def differing_parities(a: np.ndarray, b: np.ndarray) -> int:
+    """Of two sets' wide parities, the bits that differ over the lesser number of bits."""
+    while len(a) != len(b):
+        longer = max(a, b, key=len)
+        folded = longer[: len(longer) // 2] ^ longer[len(longer) // 2 :]
+        a, b = (folded, b) if longer is a else (a, folded)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def prefix_length(n: int, least: Fraction) -> int:
     return n - -(-least.numerator * n // least.denominator) + 1
 
@@ -302,7 +342,7 @@ def shingle_order(docs: DataFrame, words: int, id_col: str, text_col: str) -> tu
 
 
 def nodes_of(docs: DataFrame, words: int, least: Fraction, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, node (its set), n (the size of it), bits (fingerprint, an array of longs, of which the first is the sketch), parity (its parities), prefix (its first shingles in order)."""
+    """doc_id, node (its set), n (the size of it), bits (fingerprint, an array of longs, of which the first is the sketch), parity (its parities), wide (its wide parities), prefix (its first shingles in order)."""
     order = docs.sparkSession.sparkContext.broadcast(shingle_order(docs, words, id_col, text_col))
 
     def prefix(of: np.ndarray) -> np.ndarray:
@@ -324,10 +364,10 @@ def nodes_of(docs: DataFrame, words: int, least: Fraction, id_col: str, text_col
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [shingles(t.as_py() or b"", words, known) for t in part.column(1)]
-                columns = [part.column(0), pa.array([set_id(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), lists(wide_fingerprints(sets, N_WORDS)), lists(parities(sets)), pa.array([prefix(x) for x in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "bits", "parity", "prefix"])
+                columns = [part.column(0), pa.array([set_id(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), lists(wide_fingerprints(sets, N_WORDS)), lists(parities(sets)), pa.array([wide_parities(x).view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([prefix(x) for x in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "bits", "parity", "wide", "prefix"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, node long, n long, bits array<long>, parity array<long>, prefix array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, node long, n long, bits array<long>, parity array<long>, wide array<long>, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
@@ -448,6 +488,23 @@ def pairs_apart(least: Fraction):
     return run
 
 
+def undecided(pairs: DataFrame, nodes: DataFrame, least: Fraction) -> DataFrame:
+    """The pairs (a, b) but for those that wide parities tell dissimilar; pairs with a set that has none stay."""
+    p, q = least.numerator, least.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, stay = batch.column(2).to_numpy(zero_copy_only=False), np.ones(batch.num_rows, bool)
+            for k in np.flatnonzero(batch.column(3).is_valid().to_numpy(zero_copy_only=False) & batch.column(4).is_valid().to_numpy(zero_copy_only=False)):
+                differing = differing_parities(*(c[int(k)].values.to_numpy().view(np.uint64) for c in batch.columns[3:]))
+                stay[k] = (p + q) * differing <= (q - p) * n[k]
+            yield batch.select([0, 1]).filter(pa.array(stay))
+
+    side = lambda c: nodes.where(F.size("wide") > 0).select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"wide{c}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.select("a", "b", F.coalesce(F.col("na") + F.col("nb"), F.lit(0)).alias("n"), "widea", "wideb").mapInArrow(run, "a long, b long")
+
+
 def dealt(rows: DataFrame, scratch: Scratch, bucket: int) -> DataFrame:
     """Rows (bucket, node, sketch) with the cell of their bucket; leaders of a large one are in all its cells."""
     sample = rows.where(F.pmod(F.xxhash64("node", F.lit("sample")), F.lit(SAMPLED)) == 0)
@@ -493,7 +550,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, least: float = LEAST, id
     scratch = Scratch(spark, "similar")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     of_doc = scratch.keep(nodes_of(docs, words, bound, id_col, text_col), "documents")
-    nodes = scratch.keep(of_doc.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("parity").alias("parity")), "nodes")
+    nodes = scratch.keep(of_doc.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("parity").alias("parity"), F.first("wide").alias("wide")), "nodes")
     rows = nodes.where("n > 0").select(F.explode(F.array(*block_keys())).alias("bucket"), "node", F.element_at("bits", 1).alias("sketch"))
     order = ("bucket", "cell", "node")
     near = dealt(rows, scratch, bucket).repartition(width, "bucket", "cell").sortWithinPartitions(*order).select(*order, "sketch")
@@ -514,7 +571,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, least: float = LEAST, id
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
     far = sum(F.bit_count(F.element_at("bitsa", k).bitwiseXOR(F.element_at("bitsb", k))) for k in range(1, N_WORDS + 1))
     sizes = F.least("na", "nb") * bound.denominator >= F.greatest("na", "nb") * bound.numerator
-    links = checked(scratch.keep(first.join(side("a"), "a").join(side("b"), "b").where(sizes & (far <= ALL_FAR)).select("a", "b"), "close_first"), "first")
+    links = forest(checked(scratch.keep(first.join(side("a"), "a").join(side("b"), "b").where(sizes & (far <= ALL_FAR)).select("a", "b"), "close_first"), "first"), scratch, "forest_first")
     labels = components(links, scratch)
     # The exact pass.
     tokens = of_doc.select("node", F.posexplode("prefix").alias("place", "bucket")).select("bucket", "node", F.col("place").cast("long").alias("place"))
@@ -523,7 +580,8 @@ def similar_groups(docs: DataFrame, words: int = WORDS, least: float = LEAST, id
     meeting = grid(shared, labels, bucket).join(nodes.select("node", "n", "parity"), "node")
     meeting = meeting.repartition(width, "bucket", "cell", "other").sortWithinPartitions("bucket", "cell", "other", "node")
     apart = meeting.select("bucket", "cell", "other", "node", "place", "label", "n", "parity").mapInArrow(pairs_apart(bound), "a long, b long")
-    links = links.unionByName(checked(scratch.keep(apart.distinct(), "pairs_second"), "second"))
+    left = undecided(scratch.keep(apart.distinct(), "pairs_second"), nodes, bound)
+    links = links.unionByName(forest(checked(scratch.keep(left, "close_second"), "second"), scratch, "forest_second"))
     labels = components(links, scratch)
     rooted = scratch.keep(nodes.join(labels, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("root")), "rooted")
     # Most nodes are their own root, and only those of links share one.

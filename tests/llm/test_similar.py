@@ -159,3 +159,69 @@ def test_parities_bound_the_difference():
     assert bits.shape == (7, simhash.PARITY_BITS // 64) and not bits[-1].any()
     for i, j in combinations(range(7), 2):
         assert int(np.bitwise_count(bits[i] ^ bits[j]).sum()) <= len(np.setxor1d(sets[i], sets[j]))
+
+
+def test_wide_parities_bound_the_difference():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (2048, 2049, 4096, 4097, 4600, 20_000)]
+    sets += [np.unique(np.concatenate([s[: len(s) - k], rng.integers(0, 1 << 63, k).astype(np.uint64)])) for s in sets for k in (1, 300)]
+    bits = [simhash.wide_parities(s) for s in sets]
+    assert [64 * len(x) for x in bits[:6]] == [0, 2048, 2048, 4096, 4096, 16_384]
+    for i, j in combinations([k for k in range(len(sets)) if len(bits[k])], 2):
+        apart = len(np.setxor1d(sets[i], sets[j]))
+        got = simhash.differing_parities(bits[i], bits[j])
+        assert got == simhash.differing_parities(bits[j], bits[i]) <= apart and (apart > 10 or got == apart)
+
+
+def test_long_dissimilar_texts_are_not_checked_by_their_sets(spark, monkeypatch):
+    """Of long texts that share a passage, the sets are not moved; long similar ones, of one width of parities or two, are linked."""
+    monkeypatch.setattr(simhash, "ALL_FAR", -1)
+    rng, texts = random.Random(23), []
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    for _ in range(6):
+        passage = fresh(1500)
+        texts += [" ".join(fresh(3500) + passage), " ".join(passage + fresh(3500))]
+    words, longer = fresh(5000), fresh(4600)
+    similar = [" ".join(words), edited(rng, words, 80), " ".join(longer), " ".join(longer[:4000])]
+    rows = list(enumerate(texts + similar))
+    kept, keep = {}, simhash.Scratch.keep
+
+    def noted(self, df, name):
+        out = keep(self, df, name)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash.Scratch, "keep", noted)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, ROW), bucket=4).collect()}
+    assert got == brute_groups(rows) == {**{k: k for k, _ in rows}, 13: 12, 15: 14}
+    assert kept["pairs_second"] == 8 and kept["sets_second"] == 4
+
+
+@pytest.mark.parametrize("most", [3, 40, simhash.FOREST_LINKS])
+def test_forest_connects_the_same(spark, most):
+    rng = random.Random(29)
+    links = [(a, b) for at in (0, 100, 200) for a, b in combinations(range(at, at + 30), 2) if rng.random() < 0.3] + [(-5, 150), (150, 151), (400, 401)]
+    scratch = simhash.Scratch(spark, "forest")
+    frame = scratch.keep(spark.createDataFrame(links, "a long, b long"), "links")
+    out = simhash.forest(frame, scratch, "forest", most)
+    groups = lambda df, to: {r.node: r.label for r in simhash.components(df, simhash.Scratch(spark, to)).collect()}
+    assert groups(out, "reduced") == groups(frame, "all") and out.count() <= len(links)
+    assert most < 100 or out.count() == 3 * 29 + 3
+    assert simhash.forest(frame.limit(0), scratch, "none", most).count() == 0
+
+
+def test_links_of_a_large_group_are_few(spark, monkeypatch):
+    """Near copies of one text meet in many buckets, yet the components are found over at most a link for each."""
+    rng, kept, keep = random.Random(31), {}, simhash.Scratch.keep
+    words = [f"g{k}" for k in range(150)]
+    rows = [(k, edited(rng, words, 1)) for k in range(80)]
+
+    def noted(self, df, name):
+        out = keep(self, df, name)
+        kept.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(simhash.Scratch, "keep", noted)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, ROW)).collect()}
+    assert got == brute_groups(rows) and set(got.values()) == {0}
+    assert kept["links_first"] > 2 * len(rows) and kept["both"] <= 2 * (len(rows) - 1)
